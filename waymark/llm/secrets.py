@@ -127,28 +127,52 @@ def redacted(text: str, found: list[tuple[int, int, str]], mark: str) -> str:
     return "".join([*out, text[at:]]) if found else text
 
 
-def scanner(mark: str | None):
+def scanner():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for t in batch.column(1).to_pylist():
                 base, every = spans(t or "")
                 n = Counter(k for *_, k in base)
-                row = (n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every), None if mark is None or t is None else redacted(t, every, mark))
+                row = (n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every))
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "clean_text"])
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
     return run
 
 
-def scan_secrets(docs: DataFrame, mark: str | None = None) -> DataFrame:
-    """A row for each row of ``docs(doc_id, text)``; with a mark, ``clean_text`` is the text with secrets replaced by it."""
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs(doc_id, text)``: counts of base kinds, the base digest, all spans."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(scanner(mark), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long, clean_text string")
+    return docs.mapInArrow(scanner(), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
+
+
+def _redactor(text_at: int, chars_at: int, mark: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, lengths = list(batch.columns), batch.column(chars_at).to_pylist()
+            out = []
+            for i, t in enumerate(batch.column(text_at).to_pylist()):
+                clean = t and redacted(t, spans(t)[1], mark)
+                if clean != t:
+                    lengths[i] = len(clean)
+                out.append(clean)
+            columns[text_at], columns[chars_at] = pa.array(out, pa.string()), pa.array(lengths, pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return run
+
+
+def redact(docs: DataFrame, mark: str) -> DataFrame:
+    """The same rows and columns with every secret in ``text`` replaced by the mark, and ``n_chars`` of changed texts counted anew."""
+    ship_package(docs.sparkSession)
+    docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(_redactor(docs.columns.index("text"), docs.columns.index("n_chars"), mark), schema)
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("clean_text")
+    return scan_secrets(table(spark, sf_dir, "documents"))
