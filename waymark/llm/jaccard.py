@@ -10,12 +10,14 @@ corners) bound the overlap of the sets from above. Steps:
 2. Trees are addressed by shingles: under one global order, rarest bucket first, two sets whose similarity
    reaches the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each (prefix principle), so
    each node is put in the trees of these shingles and no link is lost. Trees with one node are dropped.
-3. In trees of many nodes (groups of near copies), all nodes are first compared with the tree's smallest node
-   only; verified links join most of such a group, without its pairs.
-4. In every tree whose nodes are then not all in one component, pairs from different components are compared:
-   set sizes, then boxes, then points bound the overlap, and pairs that may reach the threshold are verified
-   on the whole sets. Trees of many nodes are cut into chunks and pairs of chunks, each a task's work of
-   bounded size.
+3. The smallest node of each tree is compared with all others there and then leaves the tree: set sizes and points
+   bound the overlap, and pairs that may reach the threshold are verified on the whole sets. Most trees have two
+   nodes and are finished. Verified links join components, and trees that lie in one component are done.
+4. In every tree whose nodes are then not all in one component, pairs from different components are looked for: set
+   sizes, then boxes, then points bound the overlap, and survivors are verified. In two turns each node is compared
+   with its nearest by bound only, which joins groups of near copies without their pairs; a last turn takes all
+   pairs from different components that the bounds still allow. Trees of many nodes are cut into chunks and pairs
+   of chunks, each a task's work of bounded size.
 
 Links inside a component that is already known add nothing and are not looked for; the result (components)
 is that of all pairs. Nothing is collected but the bucket table.
@@ -28,6 +30,7 @@ Sets are compared by 64-bit shingle hashes and identified by a 64-bit fingerprin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from waymark.llm.components import connected_components
 GROUPS = 64  # coordinates of a point
 BUCKET_BITS = 21  # of the table of shingle frequencies
 PIECES = 32  # rows that a task's table is cut into
-STAR = 16  # nodes from which a tree is first compared with its smallest node only
+NEAREST = 2  # turns in which each node is compared with the nearest of another component only
 CHUNK = 1024  # nodes of a tree that are compared in one piece
 LEAF = 32  # points in an R-tree leaf
 BROADCAST_ROWS = 1_000_000  # rows of 16 bytes at most that are broadcast
@@ -189,9 +192,9 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, t: Thres
     """The pairs of nodes whose whole sets reach the threshold. ``pairs(a, b)`` is written, without repeats."""
     involved = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "op4-involved")
     wanted = maybe_broadcast(involved.withColumnRenamed("doc_id", "_id"), BROADCAST_ROWS)
-    # ids can repeat: only texts that have the node's set count, and one of them serves
+    # ids can repeat: only texts that have the node's set count; where several have it, links repeat, which changes nothing
     sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").mapInArrow(setter(k), "node long, words binary")
-    sets = saved(sets.dropDuplicates(["node"]), "op4-sets")
+    sets = saved(sets, "op4-sets")
     salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(64)))
     hubs = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
     others = salted.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "words")
@@ -213,17 +216,17 @@ def bounded(t: Threshold):
     return run
 
 
-def tree_pairs(n: np.ndarray, pts: np.ndarray, comp: np.ndarray, side: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, pts: np.ndarray, comp: np.ndarray, side: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of one (piece of a) tree that may reach the threshold: side 0 against side 1, or all where there is one side.
 
     Points are packed into leaves by set size and first coordinate (sort-tile-recursive on two axes); a pair of
-    leaves is left out where the minima of their boxes' upper corners cannot reach the least overlap needed.
+    leaves is left out where the minima of their boxes' upper corners cannot reach the least overlap needed. The bound of each pair's similarity comes with it.
     """
     order = np.lexsort((pts[:, 0], n))
     n, pts, comp, side, leaf = n[order], pts[order], comp[order], side[order], np.arange(len(n)) // LEAF
     edge = np.arange(0, len(n), LEAF)
     top, low_n, high_n = np.maximum.reduceat(pts, edge), np.minimum.reduceat(n, edge), np.maximum.reduceat(n, edge)
-    out_a, out_b = [], []
+    out_a, out_b, out_r = [], [], []
     two = side.min() != side.max()
     for i in range(len(edge)):
         js = np.arange(i, len(edge))
@@ -241,45 +244,66 @@ def tree_pairs(n: np.ndarray, pts: np.ndarray, comp: np.ndarray, side: np.ndarra
         a, b = a[ok], b[ok]
         for at in range(0, len(a), 1 << 16):
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            keep = t.holds(np.minimum(overlap_bound(pts[x], pts[y]), np.minimum(n[x], n[y])), n[x], n[y])
+            most = np.minimum(overlap_bound(pts[x], pts[y]), np.minimum(n[x], n[y]))
+            keep = t.holds(most, n[x], n[y])
             out_a.append(order[x[keep]])
             out_b.append(order[y[keep]])
+            out_r.append((most / (n[x] + n[y] - most))[keep])
     none = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+    return (np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_r)) if out_a else (none, none, none.astype(float))
 
 
-def searcher(t: Threshold):
-    """Candidate pairs of sorted runs of (tree, i, j, node, n, comp, side, payload)."""
+def nearest(a: np.ndarray, b: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows: for each row the pair of the highest bound."""
+    x, y, r = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((ratio, ratio))
+    order = np.lexsort((y, -r, x))
+    x, y = x[order], y[order]
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    return x[first], y[first]
+
+
+def searcher(t: Threshold, only_nearest: bool):
+    """Candidate pairs of sorted runs of (tree, i, j, node, n, comp, side, payload): all, or for each node the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["tree", "i", "j"]):
             at = starts(group, ["tree", "i", "j"])
             ends = np.append(at[1:], group.num_rows)
             node, n, comp, side = (group.column(c).to_numpy() for c in ("node", "n", "comp", "side"))
+            n = n.astype(np.int64)
             pts = np.frombuffer(b"".join(group.column("payload").to_pylist()), np.uint16).reshape(-1, GROUPS)
             seen: set[tuple[int, int]] = set()
-            small = np.flatnonzero((ends - at) <= LEAF)
-            xs, ys = [], []
-            for size in np.unique((ends - at)[small]):  # all small trees of one size at once
-                of = at[small][(ends - at)[small] == size]
-                p, q = np.triu_indices(int(size), 1)
-                xs.append((of[:, None] + p).ravel())
-                ys.append((of[:, None] + q).ravel())
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                for k in range(0, len(x), 1 << 16):
-                    a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                    ok = (comp[a] != comp[b]) & t.sizes(n[a], n[b])
-                    a, b = a[ok], b[ok]
-                    ok = t.holds(np.minimum(overlap_bound(pts[a], pts[b]), np.minimum(n[a], n[b])), n[a], n[b])
-                    seen.update(zip(np.minimum(node[a[ok]], node[b[ok]]).tolist(), np.maximum(node[a[ok]], node[b[ok]]).tolist(), strict=True))
-            for s in np.flatnonzero((ends - at) > LEAF):
+
+            def add(a, b, r, node=node, seen=seen):
+                if only_nearest:
+                    a, b = nearest(a, b, r)
+                seen.update(zip(np.minimum(node[a], node[b]).tolist(), np.maximum(node[a], node[b]).tolist(), strict=True))
+
+            size = ends - at
+            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in np.unique(size[size <= LEAF]):  # all small trees of one size at once
+                p, q = np.triu_indices(int(k), 1)
+                xs.append((at[size == k][:, None] + p).ravel())
+                ys.append((at[size == k][:, None] + q).ravel())
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            ok = (comp[x] != comp[y]) & t.sizes(n[x], n[y])
+            x, y, found = x[ok], y[ok], []
+            for k in range(0, len(x), 1 << 16):
+                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                most = np.minimum(overlap_bound(pts[a], pts[b]), np.minimum(n[a], n[b]))
+                ok = t.holds(most, n[a], n[b])
+                found.append((a[ok], b[ok], (most / (n[a] + n[b] - most))[ok]))
+            if found:
+                add(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            for s in np.flatnonzero(size > LEAF):
                 r = slice(at[s], ends[s])
-                a, b = tree_pairs(n[r], pts[r], comp[r], side[r], t)
-                seen.update(zip(np.minimum(node[r][a], node[r][b]).tolist(), np.maximum(node[r][a], node[r][b]).tolist(), strict=True))
+                a, b, ratio = tree_pairs(n[r], pts[r], comp[r], side[r], t)
+                if len(a):
+                    add(a + at[s], b + at[s], ratio)
             if seen:
-                found = np.array(sorted(seen), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                pairs = np.array(sorted(seen), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -295,31 +319,39 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     rare = spark.sparkContext.broadcast(bucket_table(sketch.where("piece is not null").select("piece", "payload")))
 
     entries = saved(docs.mapInArrow(prefixer(k, t, rare), "tree long, node long, n int"), "op4-entries")
-    trees = saved(entries.groupBy("tree").agg(F.min("node").alias("hub"), F.max("node").alias("most"), F.count("*").alias("size")).where("hub < most").select("tree", "hub", "size"), "op4-trees")
-    shared = saved(entries.join(maybe_broadcast(trees, BROADCAST_ROWS), "tree").select("tree", "node", "n", "hub", "size").distinct(), "op4-shared")
+    trees = saved(entries.groupBy("tree").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("tree"), "op4-trees")
+    shared = saved(entries.join(maybe_broadcast(trees, BROADCAST_ROWS), "tree").distinct(), "op4-shared")
 
-    # groups of near copies: against the smallest node of the tree only
     points = nodes.select("node", "n", "payload")
-    star = shared.where(f"size > {STAR} and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("payload").alias("pa")), "a").where("na > 0").join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("payload").alias("pb")), "b")
-    star = star.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb", "pa", "pb")
-    star = saved(star.mapInArrow(bounded(t), "a long, b long"), "op4-star")
-    links = saved(verify(docs, nodes, star, k, t), "op4-links")
-    known = connected_components(links, "op4-cc1")
-
-    # trees that hold more than one component: all pairs from different ones that the bounds allow
-    placed = shared.select("tree", "node", "n").join(known, "node", "left").select("tree", "node", "n", F.coalesce("root", "node").alias("comp"))
-    placed = saved(placed, "op4-placed")
-    mixed = placed.groupBy("tree").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("tree", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
-    work = placed.join(mixed, "tree").join(points.select("node", "payload"), "node")
-    work = work.withColumn("own", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    work = work.select("tree", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "comp", (F.col("own") > F.col("other")).cast("int").alias("side"), "payload")
-    work = work.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
-    rest = saved(work.mapInArrow(searcher(t), "a long, b long").distinct(), "op4-rest")
-    more = saved(verify(docs, nodes, rest, k, t), "op4-more")
-    found = connected_components(links.union(more), "op4-cc2")
-
-    roots = saved(nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "op4-roots")
+    # one node of each tree is compared with all others there, and leaves the tree
+    hubs = shared.groupBy("tree").agg(F.min(F.struct("node", "n")).alias("hub")).select("tree", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    starred = saved(shared.join(hubs, "tree").where("node <> hub"), "op4-starred")
+    star = starred.where(f"{den} * cast(least(n, hub_n) as long) >= {num} * cast(greatest(n, hub_n) as long)").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    star = star.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("payload").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("payload").alias("pb")), "b")
+    pairs = saved(star.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded(t), "a long, b long"), "op4-star")
+    links, known, left = [], None, starred.select("tree", "node", "n")
+    for turn in range(NEAREST + 2):
+        if not pairs.isEmpty():
+            links.append(saved(verify(docs, nodes, pairs, k, t), "op4-links"))
+            known = connected_components(reduce(DataFrame.union, links), "op4-cc")
+        if turn == NEAREST + 1:
+            break
+        # trees that hold more than one component: pairs from different ones that the bounds allow
+        placed = left.withColumn("comp", F.col("node")) if known is None else left.join(known, "node", "left").select("tree", "node", "n", F.coalesce("root", "node").alias("comp"))
+        placed = saved(placed, "op4-placed")
+        mixed = placed.groupBy("tree").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("tree", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
+        left = saved(placed.join(mixed, "tree"), "op4-left")
+        if left.isEmpty():
+            break
+        work = left.join(points.select("node", "payload"), "node")
+        work = work.withColumn("own", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        work = work.select("tree", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "comp", (F.col("own") > F.col("other")).cast("int").alias("side"), "payload")
+        work = work.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
+        pairs = saved(work.mapInArrow(searcher(t, turn < NEAREST), "a long, b long").distinct(), "op4-pairs")
+        left = left.select("tree", "node", "n")
+
+    roots = nodes.select("node", "doc_id", F.col("node").alias("root")) if known is None else nodes.select("node", "doc_id").join(known, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    roots = saved(roots, "op4-roots")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = saved(roots.join(least, "root").select("node", "component_id"), "op4-named")
     return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
