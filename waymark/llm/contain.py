@@ -9,6 +9,9 @@ are computed once at the finest stride and combined for the longer ones. An item
 one of its minima (64 bands of one row: a contained item is missed with probability below 1e-7), and every candidate is
 verified: the share of the item's distinct shingles that the whole document has must reach the threshold.
 
+A window can only have an item's minimum if the document has that shingle, so documents without any item's minima are
+passed over after a look at a table, before any permutation; this changes no result.
+
 The documents are only scanned: nothing is shuffled, whatever passage is frequent. The items (not the documents) are
 broadcast after a check of their size; more items than the bound are searched in several scans.
 
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import MIX_A, WordHash, mix, ship_package, shingle_hashes, table, texts, word_hashes
 
 WORDS, THRESHOLD, BANDS, FINEST = 5, 0.8, 64, 4
+TABLE_BITS = 22  # of the table of minima that a document's shingles are looked up in first
 ITEMS = 100_000  # items that one scan searches for, at most
 ITEM_CHARS = 64_000_000  # and their characters
 SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * MIX_A) | np.uint64(1)
@@ -50,10 +54,19 @@ class Index:
                 self.sets.append(s)
         self.classes = []
         for hi, members in sorted(classes.items()):
-            keys = np.stack([band_minima(self.sets[m][:, None] ^ np.uint64(0)) for m in members])  # members x bands
+            keys = np.stack([band_minima(self.sets[m]) for m in members])  # members x bands
             flat = mix(keys + np.arange(BANDS, dtype=np.uint64)).ravel()
             order = np.argsort(flat, kind="stable")
             self.classes.append((hi, flat[order], np.repeat(np.array(members), BANDS)[order]))
+        # the shingles that are minima of items: a document without any of them shares no band
+        least = [permuted(x).argmin(axis=0) for x in self.sets]
+        self.minima = np.unique(np.concatenate([x[i] for x, i in zip(self.sets, least, strict=True)])) if self.sets else np.zeros(0, np.uint64)
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[(self.minima >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+
+    def may_match(self, s: np.ndarray) -> bool:
+        hit = s[self.table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]]
+        return len(hit) > 0 and bool((self.minima[np.searchsorted(self.minima, hit).clip(max=len(self.minima) - 1)] == hit).any())
 
 
 def permuted(h: np.ndarray) -> np.ndarray:
@@ -68,7 +81,7 @@ def band_minima(h: np.ndarray) -> np.ndarray:
 
 def matches(s: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, int]]:
     """(item, its size, shingles found) of the items contained in a document with the shingle sequence s."""
-    if not len(s):
+    if not len(s) or not index.may_match(s):
         return
     fine = np.concatenate([np.minimum.reduceat(permuted(s[at : at + 4096]), np.arange(0, len(s[at : at + 4096]), FINEST), axis=0) for at in range(0, len(s), 4096)])
     candidates: set[int] = set()
