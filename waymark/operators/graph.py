@@ -66,7 +66,7 @@ def lookup(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 def entity_pose(kind: Column, own: Column) -> Column:
     """The pose by kind: identity for the reference frame, null (no pose) for others without one."""
-    return F.when(kind == "RefPose3", identity()).when(kind.isin(*WITH_POSE), own)
+    return F.when(kind == "RefPose3", identity().col).when(kind.isin(*WITH_POSE), own)
 
 
 def entity_twist(kind: Column, own: Column) -> Column:

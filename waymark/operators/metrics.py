@@ -67,8 +67,8 @@ def segment_errors(truth: DataFrame, result: DataFrame, lengths: Sequence[float]
     both = truth.select(key, "frame", F.col("pose").alias("gt")).join(result.select(key, "frame", F.col("pose").alias("est")), [key, "frame"])
     ends = pairs.join(both.select(key, F.col("frame").alias("first_frame"), F.col("gt").alias("g0"), F.col("est").alias("e0")), [key, "first_frame"])
     ends = ends.join(both.select(key, F.col("frame").alias("last_frame"), F.col("gt").alias("g1"), F.col("est").alias("e1")), [key, "last_frame"])
-    error = difference(difference(F.col("g1"), F.col("g0")), difference(F.col("e1"), F.col("e0")))
-    ends = ends.withColumn("err", error)
+    ends = ends.withColumns({"dg": difference(F.col("g1"), F.col("g0")).col, "de": difference(F.col("e1"), F.col("e0")).col})
+    ends = ends.withColumn("err", difference(F.col("dg"), F.col("de")).col)
     return ends.select(key, "first_frame", "last_frame", "len", (trace_angle(F.col("err")) / F.col("len")).alias("r_err"), (norm(F.col("err")) / F.col("len")).alias("t_err"), speed().alias("speed"))
 
 

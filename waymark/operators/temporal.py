@@ -96,7 +96,8 @@ def interp_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: st
     b = b.where(p.isNotNull() & n.isNotNull() & (n - p <= max_gap))
     u = F.when(n > p, (t - p) / (n - p)).otherwise(F.lit(0.0))
     a, c = F.col(f"{value}_prev"), F.col(f"{value}_next")
-    out = interpolate(a, c, u) if poses else a + (c - a) * u
+    b = b.withColumn("_u", u)
+    out = interpolate(a, c, F.col("_u")).col if poses else a + (c - a) * F.col("_u")
     return b.select(*left.columns, out.alias(value))
 
 

@@ -19,33 +19,33 @@ MAX_DT, SIGMA_LINEAR, SIGMA_ANGULAR = 2.0, 1.0, 1.0
 def rebase_first(frames: DataFrame, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
     """Poses seen from the first one of their trajectory. The first is found by a partial aggregate."""
     first = frames.groupBy(key).agg(F.min_by("pose", order).alias("p0"))
-    return frames.join(first, key).withColumn("pose", difference(F.col("pose"), F.col("p0"))).drop("p0")
+    return frames.join(first, key).withColumn("pose", difference(F.col("pose"), F.col("p0")).col).drop("p0")
 
 
-def transformed(frames: DataFrame, tf: Column, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
+def transformed(frames: DataFrame, tf, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
     """tf composed with (p seen from p0)."""
-    return rebase_first(frames, key, order).withColumn("pose", compose(tf, F.col("pose")))
+    return rebase_first(frames, key, order).withColumn("pose", compose(tf, F.col("pose")).col)
 
 
-def rebased(frames: DataFrame, start: Column, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
+def rebased(frames: DataFrame, start, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
     """(start seen from p0) composed with p."""
     first = frames.groupBy(key).agg(F.min_by("pose", order).alias("p0"))
-    return frames.join(first, key).withColumn("pose", compose(difference(start, F.col("p0")), F.col("pose"))).drop("p0")
+    return frames.join(first, key).withColumn("pose", compose(difference(start, F.col("p0")), F.col("pose")).col).drop("p0")
 
 
 def from_ypr_rows(rows: DataFrame) -> DataFrame:
     """``(…, x, y, z, yaw, pitch, roll)`` to ``(…, pose)``."""
     q = from_ypr(F.col("yaw"), F.col("pitch"), F.col("roll"))
-    return rows.withColumn("pose", pose(vec(F.col("x"), F.col("y"), F.col("z")), q)).drop("x", "y", "z", "yaw", "pitch", "roll")
+    return rows.withColumn("pose", pose(vec(F.col("x"), F.col("y"), F.col("z")), q).col).drop("x", "y", "z", "yaw", "pitch", "roll")
 
 
-def kitti_vehicle_frame(frames: DataFrame, cam0: Column) -> DataFrame:
+def kitti_vehicle_frame(frames: DataFrame, cam0) -> DataFrame:
     """axisChange composed with gtCam0 composed with cam0 inverse; the axis change is ypr(-90, 0, -90) degrees."""
     half = F.lit(np.pi / 2)
     axis = pose(vec(0, 0, 0), from_ypr(-half, F.lit(0.0), -half))
     q = conjugate(cam0)
     t = rotate(q, cam0)
-    return frames.withColumn("pose", compose(compose(axis, F.col("pose")), pose(vec(-t.x, -t.y, -t.z), q)))
+    return frames.withColumn("pose", compose(compose(axis, F.col("pose")), pose(vec(-t.x, -t.y, -t.z), q)).col)
 
 
 def finite_twist(frames: DataFrame, key: str = "traj_id", order: str = "t_ns", max_dt: float = MAX_DT) -> DataFrame:
@@ -59,10 +59,10 @@ def finite_twist(frames: DataFrame, key: str = "traj_id", order: str = "t_ns", m
     return out.withColumn("twist", F.when(ok & F.col("dt").isNotNull() & (F.col("dt") < max_dt), twist)).drop("_p")
 
 
-def extrapolated(pose_: Column, twist: Column, dt: Column, max_dt: float = MAX_DT) -> Column:
+def extrapolated(pose_, twist, dt: Column, max_dt: float = MAX_DT) -> Column:
     """Pose after dt of constant twist; null without a twist or beyond max_dt (exactly max_dt still counts)."""
     move = pose(vec(twist.vx * dt, twist.vy * dt, twist.vz * dt), so3_exp(vec(twist.wx * dt, twist.wy * dt, twist.wz * dt)))
-    return F.when(twist.isNotNull() & pose_.isNotNull() & (F.abs(dt) <= max_dt), compose(pose_, move))
+    return F.when(twist.isNotNull() & pose_.isNotNull() & (F.abs(dt) <= max_dt), compose(pose_, move).col)
 
 
 def extrapolate_states(queries: DataFrame, states: DataFrame, key: str = "traj_id", time: str = "t_ns", max_dt: float = MAX_DT) -> DataFrame:
@@ -106,9 +106,9 @@ def integrate_rotation(samples: DataFrame, key: str, order: Sequence[str], bias:
         if sensor is not None:
             w = rotate(sensor, w)
         q = quat_mul(acc.q, so3_exp(vec(w.x * s.dt, w.y * s.dt, w.z * s.dt)))
-        return F.struct((acc.dt + s.dt).alias("dt"), q.alias("q"))
+        return F.struct((acc.dt + s.dt).alias("dt"), q.col.alias("q"))
 
-    start = F.struct(F.lit(0.0).alias("dt"), quat(1, 0, 0, 0).alias("q"))
+    start = F.struct(F.lit(0.0).alias("dt"), F.struct(*(F.lit(v).alias(c) for c, v in zip(("qw", "qx", "qy", "qz"), (1.0, 0.0, 0.0, 0.0), strict=True))).alias("q"))
     return lists.select(key, F.aggregate("l", start, step).alias("r"), F.size("l").cast("long").alias("n")).select(key, "r.dt", "r.q", "n")
 
 
@@ -135,15 +135,15 @@ def keyframes(frames: DataFrame, key: str, order: str, distance: float, angle: f
     return flat.repartition(key).sortWithinPartitions(key, order).mapInPandas(gate, flat.schema)
 
 
-def point_in_map(points: DataFrame, pose_: Column) -> DataFrame:
+def point_in_map(points: DataFrame, pose_) -> DataFrame:
     """Points of a scan moved by the pose (both on insertion and for the likelihood)."""
     p = transform(pose_, vec(F.col("x"), F.col("y"), F.col("z")))
-    return points.withColumns({"_p": p}).withColumns({c: F.col(f"_p.{c}") for c in "xyz"}).drop("_p")
+    return points.withColumns({c: p[c] for c in "xyz"})
 
 
-def planar_pose(x, y, yaw) -> Column:
+def planar_pose(x, y, yaw):
     return pose(vec(x, y, 0), from_ypr(yaw, 0, 0))
 
 
-def identity_pose() -> Column:
+def identity_pose():
     return pose_of(0, 0, 0, 1, 0, 0, 0)

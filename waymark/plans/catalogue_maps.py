@@ -138,7 +138,7 @@ def grid_prune_box(spark, sf):
 
 @query("pose_prune", f"WITH {P} SELECT id FROM p WHERE x * x + y * y + z * z <= 3e-2 * 1e0")
 def pose_prune(spark, sf):
-    p = points(spark, sf).select("id", geom.pose_of(F.col("x"), F.col("y"), F.col("z"), 1, 0, 0, 0).alias("pose"))
+    p = points(spark, sf).select("id", geom.pose_of(F.col("x"), F.col("y"), F.col("z"), 1, 0, 0, 0).col.alias("pose"))
     return spatial.prune_poses(p, (0.0, 0.0, 0.0), 0.03**0.5).select("id")
 
 
@@ -208,33 +208,33 @@ def transform_points(spark, sf):
 def pose_compose_planar(spark, sf):
     a = trajectory.planar_pose(F.col("x"), F.col("y"), F.col("z"))
     b = trajectory.planar_pose(F.col("y"), F.col("x"), F.col("z"))
-    c = points(spark, sf).select("id", geom.to_planar(geom.compose(a, b)).alias("c"))
+    c = points(spark, sf).select("id", geom.to_planar(geom.compose(a, b)).col.alias("c"))
     return c.select("id", r6("c.x").alias("px"), r6("c.y").alias("py"), r6("c.yaw").alias("yaw"))
 
 
 @query("pose_inverse_identity", f"WITH {P} SELECT id, 0e0 AS dx, 0e0 AS dy, 0e0 AS dz, 0e0 AS angle FROM p")
 def pose_inverse_identity(spark, sf):
     a = geom.pose(xyz(), geom.from_ypr(F.col("x"), F.col("y"), F.col("z")))
-    d = points(spark, sf).select("id", a.alias("a")).select("id", geom.compose(F.col("a"), geom.inverse(F.col("a"))).alias("d"))
+    d = points(spark, sf).select("id", a.col.alias("a")).select("id", geom.compose(F.col("a"), geom.inverse(F.col("a"))).col.alias("d"))
     return d.select("id", r6("d.x").alias("dx"), r6("d.y").alias("dy"), r6("d.z").alias("dz"), r6(geom.rotation_angle(F.col("d"))).alias("angle"))
 
 
 @query("so3_round_trip", f"WITH {P} SELECT id, round(x, 6) + 0e0 AS wx, round(y, 6) + 0e0 AS wy, round(z, 6) + 0e0 AS wz FROM p")
 def so3_round_trip(spark, sf):
-    w = points(spark, sf).select("id", geom.so3_log(geom.so3_exp(xyz())).alias("w"))
+    w = points(spark, sf).select("id", geom.so3_log(geom.so3_exp(xyz())).col.alias("w"))
     return w.select("id", *(r6(f"w.{c}").alias(f"w{c}") for c in "xyz"))
 
 
 @query("ypr_round_trip", f"WITH {P} SELECT id, round(x, 6) + 0e0 AS yaw, round(y, 6) + 0e0 AS pitch, round(z, 6) + 0e0 AS roll FROM p")
 def ypr_round_trip(spark, sf):
-    a = points(spark, sf).select("id", geom.to_ypr(geom.from_ypr(F.col("x"), F.col("y"), F.col("z"))).alias("a"))
+    a = points(spark, sf).select("id", geom.to_ypr(geom.from_ypr(F.col("x"), F.col("y"), F.col("z"))).col.alias("a"))
     return a.select("id", *(r6(f"a.{c}").alias(c) for c in ("yaw", "pitch", "roll")))
 
 
 @query("matrix_round_trip", f"WITH {P} SELECT id, 0e0 AS angle, round(x, 6) + 0e0 AS x FROM p")
 def matrix_round_trip(spark, sf):
-    a = points(spark, sf).select("id", geom.pose(xyz(), geom.from_ypr(F.col("x") * 8, F.col("y"), F.col("z") * 8)).alias("a"))
-    b = a.withColumn("b", geom.from_matrix12(geom.to_matrix12(F.col("a"))))
+    a = points(spark, sf).select("id", geom.pose(xyz(), geom.from_ypr(F.col("x") * 8, F.col("y"), F.col("z") * 8)).col.alias("a"))
+    b = a.withColumn("m", geom.to_matrix12(F.col("a"))).withColumn("b", geom.from_matrix12(F.col("m")).col)
     return b.select("id", r6(geom.rotation_angle(geom.difference(F.col("b"), F.col("a")))).alias("angle"), r6("b.x").alias("x"))
 
 
@@ -247,12 +247,12 @@ def rotation_error(spark, sf):
 @query("slerp_halfway", f"WITH {P} SELECT id, round((x + y) / 2, 6) + 0e0 AS yaw FROM p")
 def slerp_halfway(spark, sf):
     q = geom.slerp(geom.from_ypr(F.col("x"), 0.0, 0.0), geom.from_ypr(F.col("y"), 0.0, 0.0), F.lit(0.5))
-    return points(spark, sf).select("id", r6(geom.to_ypr(q).yaw).alias("yaw"))
+    return points(spark, sf).select("id", q.alias("q")).select("id", r6(geom.to_ypr(F.col("q")).yaw).alias("yaw"))
 
 
 @query("elevation_correction", f"""WITH {P} SELECT id, round(sqrt(x * x + y * y + z * z), 6) AS norm, round(asin(z / sqrt(x * x + y * y + z * z)) + radians(205e-3), 6) + 0e0 AS elevation FROM p""")
 def elevation_correction(spark, sf):
-    c = points(spark, sf).select("id", geom.correct_elevation(xyz()).alias("c"))
+    c = points(spark, sf).select("id", geom.correct_elevation(xyz()).col.alias("c"))
     n = geom.norm(F.col("c"))
     return c.select("id", r6(n).alias("norm"), r6(F.asin(F.col("c.z") / n)).alias("elevation"))
 
@@ -287,7 +287,7 @@ FROM g a JOIN g b ON a.label < 2 AND b.label >= 2 AND abs(a.cx - b.cx) <= 1 AND
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, match_id) AS r FROM j), s AS (SELECT query_id, match_id, d2 + w2 AS score FROM k WHERE r <= 20)
 SELECT query_id, round(min(score), 6) AS score FROM s GROUP BY query_id""")
 def nearest_poses(spark, sf):
-    p = points(spark, sf, label=True).select("id", "label", geom.pose(xyz(), geom.from_ypr(F.col("x"), 0.0, 0.0)).alias("pose"))
+    p = points(spark, sf, label=True).select("id", "label", geom.pose(xyz(), geom.from_ypr(F.col("x"), 0.0, 0.0)).col.alias("pose"))
     out = spatial.nearest_poses(p.where("label < 2").drop("label"), p.where("label >= 2").drop("label"), SIZE)
     return out.select("query_id", r6("score").alias("score"))
 

@@ -44,7 +44,7 @@ SELECT event_id, round(v0 + (v1 - v0) * u, 6) + 0e0 AS x, round((v0 + (v1 - v0)
 def interp_pose(spark, sf):
     """Ground-truth poses joined to scans: linear in translation, SLERP in rotation."""
     left = stream(spark, sf, "purchase").select("user_id", "event_id", "t_us")
-    poses = stream(spark, sf, "view").withColumn("pose", trajectory.planar_pose(F.col("value"), F.lit(0.0), F.col("value") / 1000))
+    poses = stream(spark, sf, "view").withColumn("pose", trajectory.planar_pose(F.col("value"), F.lit(0.0), F.col("value") / 1000).col)
     out = temporal.interp_join(left, poses, ["user_id"], "t_us", "pose", 240 * 3_600_000_000, poses=True)
     return out.select("event_id", r6("pose.x").alias("x"), r6(geom.to_ypr(F.col("pose")).yaw, 5).alias("yaw"))
 
@@ -212,15 +212,15 @@ def error_overall(spark, sf):
 def pose_frames(spark, sf):
     """Planar frames: x is the distance so far over 100, the heading the event's value over 100."""
     f = frames(spark, sf)
-    return f.select("traj_id", "event_id", "frame", F.col("t_us").alias("t_us"), (F.col("t_us") * 1000).alias("t_ns"), trajectory.planar_pose(F.col("dist") / 100, F.lit(0.0), F.col("value") / 1000).alias("pose"))
+    return f.select("traj_id", "event_id", "frame", F.col("t_us").alias("t_us"), (F.col("t_us") * 1000).alias("t_ns"), trajectory.planar_pose(F.col("dist") / 100, F.lit(0.0), F.col("value") / 1000).col.alias("pose"))
 
 
 @query("segment_errors", f"WITH {SEG} SELECT traj_id, first_frame, last_frame, len, 0e0 AS r_err, 0e0 AS t_err FROM s")
 def segment_errors(spark, sf):
     """A trajectory against itself moved rigidly: all errors are 0."""
-    f = frames(spark, sf).select("traj_id", "frame", trajectory.planar_pose(F.col("dist"), F.lit(0.0), F.col("value") / 1000).alias("pose"))
+    f = frames(spark, sf).select("traj_id", "frame", trajectory.planar_pose(F.col("dist"), F.lit(0.0), F.col("value") / 1000).col.alias("pose"))
     at = geom.pose(geom.vec(1, 2, 3), geom.from_ypr(0.5, 0.2, 0.1))
-    moved = f.withColumn("pose", geom.compose(at, F.col("pose")))
+    moved = f.withColumn("pose", geom.compose(at, F.col("pose")).col)
     out = metrics.segment_errors(f, moved, LENGTHS)
     return out.select("traj_id", "first_frame", "last_frame", "len", r6("r_err").alias("r_err"), r6("t_err").alias("t_err"))
 
@@ -247,7 +247,7 @@ def finite_diff_velocity(spark, sf):
 s AS (SELECT traj_id, t_us, dist, v FROM z), q AS (SELECT traj_id, event_id, t_us + 1000000 AS t_us FROM f)
 SELECT event_id, round(dist + v * (q.t_us - s.t_us) / 1e6, 4) + 0e0 AS x FROM q ASOF JOIN s ON q.traj_id = s.traj_id AND q.t_us >= s.t_us WHERE v IS NOT NULL AND (q.t_us - s.t_us) / 1e6 <= 2""")
 def extrapolate_state(spark, sf):
-    f = frames(spark, sf).select("traj_id", "event_id", (F.col("t_us") * 1000).alias("t_ns"), geom.pose_of(F.col("dist"), 0, 0, 1, 0, 0, 0).alias("pose"))
+    f = frames(spark, sf).select("traj_id", "event_id", (F.col("t_us") * 1000).alias("t_ns"), geom.pose_of(F.col("dist"), 0, 0, 1, 0, 0, 0).col.alias("pose"))
     states = trajectory.finite_twist(f, max_dt=1e12)
     queries = f.select("traj_id", "event_id", (F.col("t_ns") + 1_000_000_000).alias("t_ns"))
     out = trajectory.extrapolate_states(queries, states).where("est is not null")
@@ -303,7 +303,7 @@ def graph_degree(spark, sf):
     return graph.degrees(factors(spark, sf))
 
 
-@query("factor_edge_at", "SELECT l_orderkey AS fid, count(*)::INTEGER AS n, arg_min(l_partkey, l_linenumber) AS first_edge FROM lineitem GROUP BY l_orderkey")
+@query("factor_edge_at", "SELECT l_orderkey AS fid, count(*)::INTEGER AS n, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS first_edge FROM lineitem GROUP BY l_orderkey")
 def factor_edge_at(spark, sf):
     f = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("fid")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
     f = f.select("fid", F.transform("l", lambda s: s.l_partkey).alias("edges"))
@@ -317,7 +317,7 @@ def entities(spark, sf):
     o = table(spark, sf, "orders")
     kind = F.when(F.col("o_orderstatus") == "O", "RefPose3").when(F.col("o_orderstatus") == "F", "RelPose3").otherwise("RelDynPose3KF")
     twist = F.struct(*(F.col("o_totalprice").alias(c) for c in ("vx", "vy", "vz", "wx", "wy", "wz")))
-    return o.select(F.col("o_orderkey").alias("id"), kind.alias("kind"), geom.pose_of(F.col("o_totalprice"), 0, 0, 1, 0, 0, 0).alias("pose"), twist.alias("twist"))
+    return o.select(F.col("o_orderkey").alias("id"), kind.alias("kind"), geom.pose_of(F.col("o_totalprice"), 0, 0, 1, 0, 0, 0).col.alias("pose"), twist.alias("twist"))
 
 
 @query("entity_dispatch", f"SELECT o_orderkey AS id, {KIND} AS kind, CASE WHEN o_orderstatus = 'O' THEN 0e0 ELSE o_totalprice END AS x, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN o_totalprice END AS vx FROM orders")
@@ -329,7 +329,7 @@ def entity_dispatch(spark, sf):
 @query("entity_update", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'O' THEN 1e0 ELSE o_totalprice END AS x FROM orders")
 def entity_update(spark, sf):
     e = entities(spark, sf)
-    new = e.where("id % 2 = 0").select("id", geom.pose_of(1, 0, 0, 1, 0, 0, 0).alias("new_pose"))
+    new = e.where("id % 2 = 0").select("id", geom.pose_of(1, 0, 0, 1, 0, 0, 0).col.alias("new_pose"))
     return graph.update_pose(e, new).select("id", F.col("pose.x").alias("x"))
 
 

@@ -42,7 +42,7 @@ def kitti_times(spark: SparkSession, path: str) -> DataFrame:
 def kitti_poses(spark: SparkSession, path: str) -> DataFrame:
     """``(frame, pose)`` of 3x4 rows; lines that aren't twelve numbers end nothing but are left out."""
     rows = text_lines(spark, path).select("line_no", text.numbers(F.col("line")).alias("m")).where(text.well_formed(F.col("m"), 12))
-    return rows.select(F.col("line_no").alias("frame"), from_matrix12(F.col("m")).alias("pose"))
+    return rows.select(F.col("line_no").alias("frame"), from_matrix12(F.col("m")).col.alias("pose"))
 
 
 def kitti_calibration(spark: SparkSession, path: str, keys: tuple[str, ...] = ("P0", "P1", "P2", "P3", "Tr")) -> DataFrame:
@@ -81,7 +81,7 @@ def kitti360_times(spark: SparkSession, path: str) -> DataFrame:
 def kitti360_poses(spark: SparkSession, path: str) -> DataFrame:
     """``(frame_idx, pose)`` of rows with an index and twelve numbers."""
     rows = text_lines(spark, path).select(text.numbers(F.col("line")).alias("v")).where(text.well_formed(F.col("v"), 13))
-    return rows.select(F.col("v")[0].cast("long").alias("frame_idx"), from_matrix12(F.slice("v", 2, 12)).alias("pose"))
+    return rows.select(F.col("v")[0].cast("long").alias("frame_idx"), from_matrix12(F.slice("v", 2, 12)).col.alias("pose"))
 
 
 def kitti360_truth(times: DataFrame, poses: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def mulran_gps(spark: SparkSession, path: str) -> DataFrame:
 
 def mulran_truth(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, schema="t_ns long, " + ", ".join(f"m{i} double" for i in range(12)))
-    return rows.where("t_ns is not null").select("t_ns", from_matrix12(F.array(*(F.col(f"m{i}") for i in range(12)))).alias("pose"))
+    return rows.where("t_ns is not null").select("t_ns", from_matrix12(F.array(*(F.col(f"m{i}") for i in range(12)))).col.alias("pose"))
 
 
 def mulran_scans(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,14 +185,14 @@ def paris_luco_points(spark: SparkSession, folder: str) -> DataFrame:
 def paris_luco_truth(spark: SparkSession, path: str, period_ns: int = 100_000_000) -> DataFrame:
     """Translations as a trajectory (published, unlike poses that are only loaded)."""
     rows = text_lines(spark, path).select("line_no", text.numbers(F.col("line")).alias("v")).where(text.well_formed(F.col("v"), 3))
-    return rows.select(((F.col("line_no") + 1) * F.lit(period_ns).cast("long")).alias("t_ns"), pose_of(F.col("v")[0], F.col("v")[1], F.col("v")[2], 1, 0, 0, 0).alias("pose"))
+    return rows.select(((F.col("line_no") + 1) * F.lit(period_ns).cast("long")).alias("t_ns"), pose_of(F.col("v")[0], F.col("v")[1], F.col("v")[2], 1, 0, 0, 0).col.alias("pose"))
 
 
 def tum_trajectory(spark: SparkSession, path: str) -> DataFrame:
     """``(t_ns, pose)`` of rows ``t x y z qx qy qz qw``; comments are skipped."""
     rows = text_lines(spark, path).where(~F.col("line").startswith("#")).select(text.numbers(F.col("line")).alias("v")).where(text.well_formed(F.col("v"), 8))
     v = F.col("v")
-    return rows.select(text.seconds_to_ns(v[0]).alias("t_ns"), pose_of(v[1], v[2], v[3], v[7], v[4], v[5], v[6]).alias("pose"))
+    return rows.select(text.seconds_to_ns(v[0]).alias("t_ns"), pose_of(v[1], v[2], v[3], v[7], v[4], v[5], v[6]).col.alias("pose"))
 
 
 def ypr_trajectory(spark: SparkSession, path: str) -> DataFrame:
