@@ -91,6 +91,8 @@ def trigram_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     langs = sorted({r.lang for r in rows})
     if len(langs) > LANGUAGES:
         raise ValueError("more languages than the bound")
+    if not langs:
+        return [], np.zeros((0, 1 << BITS), np.float32)
     table_ = np.zeros((len(langs), PIECES, (1 << BITS) // PIECES))
     for r in rows:
         table_[langs.index(r.lang), r.piece] += np.frombuffer(r.payload, np.int64)
