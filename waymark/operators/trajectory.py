@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.functions.geom import compose, conjugate, difference, from_ypr, grow_covariance, pose, pose_of, quat, quat_mul, rotate, so3_exp, so3_log, transform, vec
+from waymark.functions.geom import bind, compose, conjugate, difference, from_ypr, grow_covariance, pose, pose_of, quat, quat_mul, rotate, so3_exp, so3_log, transform, vec
 
 #: Defaults of the fusion (fixed values): use of the velocity model in seconds, random walks.
 MAX_DT, SIGMA_LINEAR, SIGMA_ANGULAR = 2.0, 1.0, 1.0
@@ -53,25 +53,35 @@ def finite_twist(frames: DataFrame, key: str = "traj_id", order: str = "t_ns", m
     w = Window.partitionBy(key).orderBy(order)
     out = frames.withColumns({"_p": F.lag("pose").over(w), "dt": (F.col(order) - F.lag(order).over(w)) / F.lit(1e9)})
     ok = F.assert_true(F.col("dt").isNull() | (F.col("dt") > 0), F.lit("time must go on")).isNull()
-    inc = difference(F.col("pose"), F.col("_p"))
-    w3 = so3_log(inc)
-    twist = F.struct(*((inc[c] / F.col("dt")).alias(f"v{c}") for c in "xyz"), *((w3[c] / F.col("dt")).alias(f"w{c}") for c in "xyz"))
-    return out.withColumn("twist", F.when(ok & F.col("dt").isNotNull() & (F.col("dt") < max_dt), twist)).drop("_p")
 
+    def rate(v: Column) -> Column:
+        w = so3_log(v.inc)
+        return F.struct(*((v.inc[c] / v.dt).alias(f"v{c}") for c in "xyz"), *((w[c] / v.dt).alias(f"w{c}") for c in "xyz"))
 
-def extrapolated(pose_, twist, dt: Column, max_dt: float = MAX_DT) -> Column:
-    """Pose after dt of constant twist; null without a twist or beyond max_dt (exactly max_dt still counts)."""
-    move = pose(vec(twist.vx * dt, twist.vy * dt, twist.vz * dt), so3_exp(vec(twist.wx * dt, twist.wy * dt, twist.wz * dt)))
-    return F.when(twist.isNotNull() & pose_.isNotNull() & (F.abs(dt) <= max_dt), compose(pose_, move).col)
+    # bound, so that each part is evaluated once and the generated code stays small
+    moved = bind(F.struct(F.col("pose").alias("p"), F.col("_p").alias("q"), "dt"), lambda s: F.struct(difference(s.p, s.q).col.alias("inc"), s.dt.alias("dt")))
+    dt = F.col("dt")
+    return out.withColumn("twist", F.when(ok & dt.isNotNull() & (dt < max_dt), bind(moved, rate))).drop("_p")
+
+
+def motion(twist, dt: Column) -> Column:
+    """Pose that dt of constant twist moves by."""
+    return pose(vec(twist.vx * dt, twist.vy * dt, twist.vz * dt), so3_exp(vec(twist.wx * dt, twist.wy * dt, twist.wz * dt))).col
 
 
 def extrapolate_states(queries: DataFrame, states: DataFrame, key: str = "traj_id", time: str = "t_ns", max_dt: float = MAX_DT) -> DataFrame:
-    """``(…, est)``: the state at or before each query's time, moved on to it. ``states(key, t_ns, pose, twist)``."""
+    """``(…, est)``: the state at or before each query's time, moved on to it; null without a twist or beyond max_dt.
+
+    ``states(key, t_ns, pose, twist)``.
+    """
     from waymark.operators.temporal import asof_join
 
     j = asof_join(queries, states, [key], time, ["pose", "twist"])
     dt = (F.col(time) - F.col(f"{time}_right")) / F.lit(1e9)
-    return j.withColumn("dt", dt).withColumn("est", extrapolated(F.col("pose"), F.col("twist"), dt, max_dt)).drop("pose", "twist")
+    j = j.withColumn("dt", dt)
+    ok = F.col("twist").isNotNull() & F.col("pose").isNotNull() & (F.abs(F.col("dt")) <= max_dt)  # exactly max_dt still counts
+    given = bind(F.struct("pose", "twist", "dt"), lambda s: F.struct(s.pose.alias("pose"), motion(s.twist, s.dt).alias("move")))
+    return j.withColumn("est", F.when(ok, bind(given, lambda s: compose(s.pose, s.move).col))).drop("pose", "twist")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
