@@ -20,7 +20,8 @@ corners) bound the overlap of the sets from above. Steps:
    of chunks, each a task's work of bounded size.
 
 Links inside a component that is already known add nothing and are not looked for; the result (components)
-is that of all pairs. Nothing is collected but the bucket table.
+is that of all pairs. Nothing is collected but the bucket table and
+a filter of one bit a tree and 16 MB at most, which keeps entries of trees with one node from being shuffled twice.
 
 Nulls and texts without words have no shingles and link with nothing; documents of fewer than k words are one
 shingle, the whole sequence. Repeated rows are equal sets. A null doc_id is kept and counts as an own row.
@@ -47,6 +48,7 @@ NEAREST = 2  # turns in which each node is compared with the nearest of another
 CHUNK = 1024  # nodes of a tree that are compared in one piece
 LEAF = 32  # points in an R-tree leaf
 BROADCAST_ROWS = 1_000_000  # rows of 16 bytes at most that are broadcast
+MOST_BITS = 27  # log2 of the bits of the filter of trees
 FULL = np.uint16(65535)  # a coordinate of this size or more
 
 
@@ -151,6 +153,30 @@ def prefixer(k: int, t: Threshold, table):
     return run
 
 
+def tree_bits(trees: DataFrame) -> tuple[int, np.ndarray]:
+    """One bit for each tree, by the top bits of its hash: 16 bits a tree, up to 2**MOST_BITS in all (16 MB)."""
+    width = min(MOST_BITS, max(12, (16 * max(trees.count(), 1) - 1).bit_length()))
+    at = F.shiftrightunsigned("tree", 64 - width)
+    words = trees.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(tree, {64 - width}) & 63 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return width, out
+
+
+def in_trees(held):
+    """Drops entries whose tree's bit isn't set, which have no tree of two nodes for sure; the join after it is exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, bits = held.value
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)
+            keep = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    return run
+
+
 def setter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -320,7 +346,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     entries = saved(docs.mapInArrow(prefixer(k, t, rare), "tree long, node long, n int"), "op4-entries")
     trees = saved(entries.groupBy("tree").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("tree"), "op4-trees")
-    shared = saved(entries.join(maybe_broadcast(trees, BROADCAST_ROWS), "tree").distinct(), "op4-shared")
+    bits = spark.sparkContext.broadcast(tree_bits(trees))
+    shared = saved(entries.mapInArrow(in_trees(bits), "tree long, node long, n int").join(trees, "tree").distinct(), "op4-shared")
 
     points = nodes.select("node", "n", "payload")
     # one node of each tree is compared with all others there, and leaves the tree
