@@ -33,7 +33,8 @@ CLASSES, SIZE, OWN = 64, 64, 3072  # classes x words in each; the first words by
 WORDS = CLASSES * SIZE
 PAD = WORDS
 DIM, SIDES = 16, (-2, -1, 1, 2)
-STRIDE, ROUNDS, STEP, RATE = 8, 2, 512, 0.15
+STRIDE, ROUNDS, STEP, RATE = 8, 2, 2048, 0.15
+GAIN = 4  # larger batches take larger steps in the softmax layers
 SLICES = 16
 FLUSH = 200_000  # distinct words that a task counts before it hands them on
 SHAPES = {"emb": (len(SIDES), WORDS + 1, DIM), "wc": (DIM, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, DIM, SIZE), "bo": (CLASSES, SIZE)}
@@ -82,12 +83,13 @@ def start() -> dict[str, np.ndarray]:
     return {k: (rng.normal(0, 0.1, s) if k in ("emb", "wc", "wo") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
-def contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and neighbours (n x 4) of all positions of several documents."""
+def contexts(tokens: list[np.ndarray], first: int = 0, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and neighbours (n x 4) of the positions of several documents, or of one in ``stride``."""
     pad = np.full(2, PAD, np.int32)
     line = np.concatenate([x for t in tokens for x in (t, pad)] + [pad]) if tokens else pad
     line = np.concatenate((pad, line))
     at = np.concatenate([np.arange(len(t)) + lo for t, lo in zip(tokens, np.cumsum([2] + [len(t) + 2 for t in tokens[:-1]]), strict=True)]) if tokens else np.zeros(0, np.int64)
+    at = at[first::stride]
     return line[at], np.stack([line[at + d] for d in SIDES], axis=1)
 
 
@@ -103,53 +105,66 @@ def hidden(p: dict, near: np.ndarray) -> np.ndarray:
     return np.tanh(h)
 
 
+def by_class(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts rows of a class together, and where each class starts."""
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    return order, np.searchsorted(c[order], np.arange(CLASSES + 1))
+
+
+def log_sums(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1, keepdims=True)
+    x = np.exp(x - top)
+    return np.log(x.sum(axis=1)) + top[:, 0]
+
+
 def log_probs(p: dict, centre: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Conditional log-probability of each centre."""
     if not len(centre):
         return np.zeros(0)
-    h = hidden(p, near)
-    c, w = centre // SIZE, centre % SIZE
-    x = h @ p["wc"] + p["bc"]
-    top = x.max(axis=1)
-    out = x[np.arange(len(c)), c] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    order, edges = by_class(centre // SIZE)
+    c, w, h = (centre // SIZE)[order], (centre % SIZE)[order], hidden(p, near[order])
+    got = np.empty(len(c))
+    for lo in range(0, len(c), 4096):  # pieces that stay in the processor's cache
+        r = slice(lo, lo + 4096)
+        x = h[r] @ p["wc"] + p["bc"]
+        got[r] = x[np.arange(len(x)), c[r]] - log_sums(x)
     for k in range(CLASSES):
-        rows = order[edges[k] : edges[k + 1]]
-        if len(rows):
-            y = h[rows] @ p["wo"][k] + p["bo"][k]
-            top = y.max(axis=1)
-            out[rows] += y[np.arange(len(rows)), w[rows]] - top - np.log(np.exp(y - top[:, None]).sum(axis=1))
+        for lo in range(edges[k], edges[k + 1], 4096):
+            r = slice(lo, min(lo + 4096, edges[k + 1]))
+            y = h[r] @ p["wo"][k] + p["bo"][k]
+            got[r] += y[np.arange(len(y)), w[r]] - log_sums(y)
+    out = np.empty(len(c))
+    out[order] = got
     return out
 
 
 def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One gradient step on a mini-batch, in place."""
     n = len(centre)
+    order, edges = by_class(centre // SIZE)
+    c, w, near = (centre // SIZE)[order], (centre % SIZE)[order], near[order]
     h = hidden(p, near)
-    c, w = centre // SIZE, centre % SIZE
     g = softmax(h @ p["wc"] + p["bc"])
     g[np.arange(n), c] -= 1
     dh = g @ p["wc"].T
-    p["wc"] -= rate / n * (h.T @ g)
-    p["bc"] -= rate / n * g.sum(axis=0)
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in np.unique(c):
-        rows = order[edges[k] : edges[k + 1]]
-        y = softmax(h[rows] @ p["wo"][k] + p["bo"][k])
-        y[np.arange(len(rows)), w[rows]] -= 1
-        dh[rows] += y @ p["wo"][k].T
-        m = rate / max(16, len(rows))
-        p["wo"][k] -= m * (h[rows].T @ y)
+    p["wc"] -= rate * GAIN / n * (h.T @ g)
+    p["bc"] -= rate * GAIN / n * g.sum(axis=0)
+    for k in np.flatnonzero(edges[1:] > edges[:-1]):
+        r = slice(edges[k], edges[k + 1])
+        y = softmax(h[r] @ p["wo"][k] + p["bo"][k])
+        y[np.arange(len(y)), w[r]] -= 1
+        dh[r] += y @ p["wo"][k].T
+        m = rate * GAIN / max(16 * GAIN, len(y))
+        p["wo"][k] -= m * (h[r].T @ y)
         p["bo"][k] -= m * y.sum(axis=0)
     dx = (dh * (1 - h * h)).astype(np.float32)
     for s in range(len(SIDES)):
-        # the mean step of each neighbour, so that frequent words don't overshoot
-        ids, at, times = np.unique(near[:, s], return_inverse=True, return_counts=True)
-        total = np.zeros((len(ids), DIM), np.float32)
-        np.add.at(total, at, dx)
-        p["emb"][s][ids] -= rate * total / np.sqrt(times)[:, None] / 4
+        # the steps of each neighbour by the root of their number, so that frequent words don't overshoot
+        order = np.argsort(near[:, s].astype(np.int16), kind="stable")
+        at = near[order, s]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        times = np.diff(np.append(first, n))
+        p["emb"][s][at[first]] -= rate * np.add.reduceat(dx[order], first, axis=0) / np.sqrt(times)[:, None].astype(np.float32) / 4
 
 
 def packed(p: dict) -> np.ndarray:
@@ -187,8 +202,7 @@ def _trained(held, turn: int):
         for batch in batches:
             body = texts(batch)
             for lo in range(0, len(body), 100):
-                centre, near = contexts([t for t in (tokens.of(x) for x in body[lo : lo + 100]) if len(t)])
-                kept.append((centre[turn::STRIDE], near[turn::STRIDE]))
+                kept.append(contexts([t for t in (tokens.of(x) for x in body[lo : lo + 100]) if len(t)], turn, STRIDE))
                 if sum(len(c) for c, _ in kept) >= 8 * STEP:
                     steps(False)
         if kept:
