@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import saved, table
+from waymark.llm.common import maybe_broadcast, saved, table
 from waymark.llm.contain import contained
-from waymark.llm.jaccard import jaccard_components
+from waymark.llm.jaccard import BROADCAST_ROWS, jaccard_components
 from waymark.llm.pieces import encode_pieces
 from waymark.llm.quality import score_quality, train
 from waymark.llm.secrets import redact
@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; of repeated rows, one."""
     groups = saved(jaccard_components(docs, WORDS, NUM, DEN), "pipeline-groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()  # no texts are shuffled while these ids are few enough
     again = saved(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-again")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = docs.select(*COLUMNS).join(maybe_broadcast(saved(gone, "pipeline-gone"), BROADCAST_ROWS), "doc_id", "left_anti")
     if again.isEmpty():
         return kept.select(*COLUMNS)
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -61,7 +61,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def drop_saved(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote; everything made from it must be written already."""
+    drop_path(df.sparkSession, df.work_path)
 
 
 class WordHash(dict):

@@ -20,8 +20,9 @@ corners) bound the overlap of the sets from above. Steps:
    of chunks, each a task's work of bounded size.
 
 Links inside a component that is already known add nothing and are not looked for; the result (components)
-is that of all pairs. Nothing is collected but the bucket table and
-a filter of one bit a tree and 16 MB at most, which keeps entries of trees with one node from being shuffled twice.
+is that of all pairs. Nothing is collected but the bucket table. Most entries belong to trees with one node: entries are
+shuffled once, packed into some six bytes each, only to find the trees that several entries share; the entries of these
+alone are then joined with their nodes.
 
 Nulls and texts without words have no shingles and link with nothing; documents of fewer than k words are one
 shingle, the whole sequence. Repeated rows are equal sets. A null doc_id is kept and counts as an own row.
@@ -35,10 +36,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WordHash, maybe_broadcast, mix, saved, ship_package, shingle_hashes, starts, table, texts, whole_groups, word_hashes
+from waymark.llm.common import WordHash, drop_saved, maybe_broadcast, mix, saved, ship_package, shingle_hashes, starts, table, texts, whole_groups, word_hashes
 from waymark.llm.components import connected_components
 
 GROUPS = 64  # coordinates of a point
@@ -48,7 +50,9 @@ NEAREST = 2  # turns in which each node is compared with the nearest of another
 CHUNK = 1024  # nodes of a tree that are compared in one piece
 LEAF = 32  # points in an R-tree leaf
 BROADCAST_ROWS = 1_000_000  # rows of 16 bytes at most that are broadcast
-MOST_BITS = 27  # log2 of the bits of the filter of trees
+TREE_BITS = 48  # of the hash that addresses a tree; two trees that fall together only share their candidates
+FLUSH = 2_000_000  # entries that a task holds before it packs them
+PIECE_ENTRIES = 2_000_000  # entries of the piece of the hash range that one task matches, about
 FULL = np.uint16(65535)  # a coordinate of this size or more
 
 
@@ -131,50 +135,112 @@ def bucket_table(pieces: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixer(k: int, t: Threshold, table):
+PREFIX = "tree long, ref long, node long, n int, piece int, payload binary"
+
+
+def prefix_rows(**columns) -> pa.RecordBatch:
+    """A batch of PREFIX rows; columns that aren't given are null."""
+    size = len(next(iter(columns.values())))
+    kinds = {"tree": pa.int64(), "ref": pa.int64(), "node": pa.int64(), "n": pa.int32(), "piece": pa.int32(), "payload": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], names=list(kinds))
+
+
+def pack_bits(x: np.ndarray, width: int) -> bytes:
+    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(bits[:, 64 - width :]).tobytes()
+
+
+def unpack_bits(data: np.ndarray, size: int, width: int) -> np.ndarray:
+    bits = np.zeros((size, 64), np.uint8)
+    bits[:, 64 - width :] = np.unpackbits(data, count=size * width).reshape(size, width)
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.int64)
+
+
+def pack_entries(tree: np.ndarray, doc: np.ndarray, base: int) -> bytes:
+    """Entries sorted by tree: differences of the trees and numbers of the documents after ``base``, each in as few bits as hold them."""
+    steps = np.diff(tree, prepend=tree[:1])
+    wide = [max(1, int(x.max()).bit_length()) for x in (steps, doc)]
+    return np.array([tree[0], base, len(tree), *wide], np.int64).tobytes() + pack_bits(steps, wide[0]) + pack_bits(doc, wide[1])
+
+
+def unpack_entries(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, base, size, wide, doc_wide = np.frombuffer(payload, np.int64, 5).tolist()
+    data = np.frombuffer(payload, np.uint8, offset=40)
+    cut = -(-size * wide // 8)
+    return first + np.cumsum(unpack_bits(data[:cut], size, wide)), base + unpack_bits(data[cut:], size, doc_wide)
+
+
+def prefixer(k: int, t: Threshold, table, pieces: int):
+    """PREFIX rows: ``(ref, node, n)`` names a document of this task; packed entries of trees, dealt by piece of the hash
+    range; and, beyond two entries of a tree in one flush, which are packed and settle that it has company, ``(tree, ref)``."""
+
+    def packed(trees: list[np.ndarray], docs: list[int], base: int) -> Iterator[pa.RecordBatch]:
+        tree, doc = np.concatenate(trees), np.repeat(np.array(docs) - docs[0], [len(x) for x in trees])
+        order = np.argsort(tree, kind="stable")
+        tree, doc, base = tree[order], doc[order], base + docs[0]
+        third = np.zeros(len(tree), bool)
+        third[2:] = tree[2:] == tree[:-2]
+        if third.any():
+            yield prefix_rows(tree=tree[third], ref=base + doc[third])
+        tree, doc = tree[~third], doc[~third]
+        piece = (tree >> (TREE_BITS - 24)) * pieces >> 24
+        at = np.union1d(np.flatnonzero(np.diff(piece, prepend=-1)), np.arange(0, len(tree), 1 << 16))
+        ends = np.append(at[1:], len(tree))
+        for lo in range(0, len(at), 200):
+            part = list(zip(at[lo : lo + 200], ends[lo : lo + 200], strict=True))
+            yield prefix_rows(piece=[int(piece[x]) for x, _ in part], payload=[pack_entries(tree[x:y], doc[x:y], base) for x, y in part])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, rare = WordHash(), table.value
+        memo, rare, base = WordHash(), table.value, TaskContext.get().partitionId() << 33
+        count, seen, trees, docs, held = 0, set(), [], [], 0
         for batch in batches:
-            nodes, sizes, trees = [], [], []
+            nodes, sizes, refs = [], [], []
             for text in texts(batch):
                 s = doc_set(text, memo, k)
                 n = len(s)
                 if not n:
                     continue
-                m = t.prefix(n)
+                node = fingerprint(s)
+                if node in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(node)
                 key = (rare[(s & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
-                first = s[np.argsort(key, kind="stable")[:m]]
-                trees.append(first)
-                nodes.append(np.full(m, fingerprint(s), np.int64))
-                sizes.append(np.full(m, n, np.int32))
-            if trees:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(trees).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["tree", "node", "n"])
+                first = s[np.argsort(key, kind="stable")[: t.prefix(n)]]
+                trees.append((first >> np.uint64(64 - TREE_BITS)).astype(np.int64))
+                docs.append(count)
+                nodes.append(node)
+                sizes.append(n)
+                refs.append(base + count)
+                count += 1
+                held += len(first)
+                if held >= FLUSH:
+                    yield from packed(trees, docs, base)
+                    trees, docs, held = [], [], 0
+            if refs:
+                yield prefix_rows(ref=refs, node=nodes, n=sizes)
+        if trees:
+            yield from packed(trees, docs, base)
 
     return run
 
 
-def tree_bits(trees: DataFrame) -> tuple[int, np.ndarray]:
-    """One bit for each tree, by the top bits of its hash: 16 bits a tree, up to 2**MOST_BITS in all (16 MB)."""
-    width = min(MOST_BITS, max(12, (16 * max(trees.count(), 1) - 1).bit_length()))
-    at = F.shiftrightunsigned("tree", 64 - width)
-    words = trees.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(tree, {64 - width}) & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    out = np.zeros(1 << (width - 6), np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return width, out
-
-
-def in_trees(held):
-    """Drops entries whose tree's bit isn't set, which have no tree of two nodes for sure; the join after it is exact."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, bits = held.value
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)
-            keep = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(keep.astype(bool)))
-
-    return run
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of trees that have several, from ``(piece, payload)`` sorted by piece."""
+    for group in whole_groups(batches, ["piece"]):
+        at = starts(group, ["piece"])
+        payload = group.column("payload")
+        for lo, hi in zip(at, np.append(at[1:], group.num_rows), strict=True):
+            parts = [unpack_entries(payload[i].as_py()) for i in range(lo, hi)]
+            tree, ref = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(tree, kind="stable")
+            tree = tree[order]
+            same = tree[1:] == tree[:-1]
+            keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            tree, ref = tree[keep], ref[order[keep]]
+            for x in range(0, len(tree), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(tree[x : x + (1 << 16)]), pa.array(ref[x : x + (1 << 16)])], names=["tree", "ref"])
 
 
 def setter(k: int):
@@ -344,10 +410,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     nodes = saved(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload")), "op4-nodes")
     rare = spark.sparkContext.broadcast(bucket_table(sketch.where("piece is not null").select("piece", "payload")))
 
-    entries = saved(docs.mapInArrow(prefixer(k, t, rare), "tree long, node long, n int"), "op4-entries")
-    trees = saved(entries.groupBy("tree").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("tree"), "op4-trees")
-    bits = spark.sparkContext.broadcast(tree_bits(trees))
-    shared = saved(entries.mapInArrow(in_trees(bits), "tree long, node long, n int").join(trees, "tree").distinct(), "op4-shared")
+    words, count = rows.agg(F.sum("n"), F.count("*")).first()
+    pieces = min(1 << 24, 1 + ((words or 0) * (den - num) // den + count) // PIECE_ENTRIES)
+    prefixes = saved(docs.mapInArrow(prefixer(k, t, rare, pieces), PREFIX), "op4-prefixes")
+    blobs = prefixes.where("piece is not null").select("piece", "payload")
+    hits = blobs.repartition(max(pieces, spark.sparkContext.defaultParallelism), "piece").sortWithinPartitions("piece").mapInArrow(met, "tree long, ref long")
+    hits = hits.union(prefixes.where("tree is not null").select("tree", "ref"))
+    # of equal sets one document stands for the node
+    refs = prefixes.where("node is not null").groupBy("node").agg(F.min(F.struct("ref", "n")).alias("r")).select("r.ref", "node", "r.n")
+    shared = saved(hits.join(refs, "ref").select("tree", "node", "n"), "op4-shared")
+    drop_saved(prefixes)
 
     points = nodes.select("node", "n", "payload")
     # one node of each tree is compared with all others there, and leaves the tree
