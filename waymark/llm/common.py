@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 1_000  # rows of an Arrow batch, at most: texts can be long
+#: Python workers hand large freed blocks back at once: workers are used again for later stages.
+ALLOCATOR = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 WORD_MEMO = 150_000  # words whose hash a Python worker remembers
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -30,6 +32,8 @@ def ship_package(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
+    for k, v in ALLOCATOR.items():
+        env.setdefault(k, v)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 

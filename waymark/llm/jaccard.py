@@ -1,6 +1,6 @@
 """Operator 4: exact n-gram Jaccard join over a forest of count-vector R-trees.
 
-A document is the set of its distinct k-word shingles. Shingles are hashed into 64 groups; the group
+A document is the set of its distinct k-word shingles. Shingles are hashed into 256 groups; the group
 counts are a point, and the summed coordinate minima of two points (or of two bounding boxes' upper
 corners) bound the overlap of the sets from above. Steps:
 
@@ -40,10 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WordHash, drop_saved, maybe_broadcast, mix, saved, ship_package, shingle_hashes, starts, table, texts, whole_groups, word_hashes
+from waymark.llm.common import WordHash, drop_saved, maybe_broadcast, mix, saved, ship_package, shingle_hashes, small_enough, starts, table, texts, whole_groups, word_hashes
 from waymark.llm.components import connected_components
 
-GROUPS = 64  # coordinates of a point
+GROUP_BITS = 8
+GROUPS = 1 << GROUP_BITS  # coordinates of a point: bounds of unlike sets stay below 0.8 up to some 7,000 shingles
 BUCKET_BITS = 21  # of the table of shingle frequencies
 PIECES = 32  # rows that a task's table is cut into
 NEAREST = 2  # turns in which each node is compared with the nearest of another component only
@@ -51,8 +52,10 @@ CHUNK = 1024  # nodes of a tree that are compared in one piece
 LEAF = 32  # points in an R-tree leaf
 BROADCAST_ROWS = 1_000_000  # rows of 16 bytes at most that are broadcast
 TREE_BITS = 48  # of the hash that addresses a tree; two trees that fall together only share their candidates
-FLUSH = 2_000_000  # entries that a task holds before it packs them
-PIECE_ENTRIES = 2_000_000  # entries of the piece of the hash range that one task matches, about
+BOUNDED = 1 << 13  # pairs whose points are compared at once
+MATES = 256  # sets that one copy of a hub's set is compared with, about
+FLUSH = 1_000_000  # entries that a task holds before it packs them
+PIECE_ENTRIES = 1_000_000  # entries of the piece of the hash range that one task matches, about
 FULL = np.uint16(65535)  # a coordinate of this size or more
 
 
@@ -85,7 +88,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), int(FULL)).astype(np.uint16)
+    return np.minimum(np.bincount((s >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS), int(FULL)).astype(np.uint16)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -287,9 +290,13 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, t: Thres
     # ids can repeat: only texts that have the node's set count; where several have it, links repeat, which changes nothing
     sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").mapInArrow(setter(k), "node long, words binary")
     sets = saved(sets, "op4-sets")
-    salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(64)))
-    hubs = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
-    others = salted.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "words")
+    # a node with many pairs is salted: its set is copied once for some MATES of them
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MATES).cast("int").alias("parts"))
+    salted = saved(pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("salt")), "op4-salted")
+    few = small_enough(salted, BROADCAST_ROWS)  # then the sets are shuffled once only, to where they are compared
+    keys = salted.select("a", "salt").distinct()
+    hubs = sets.join(F.broadcast(keys) if few else keys, F.col("node") == F.col("a")).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
+    others = sets.join(F.broadcast(salted) if few else salted, F.col("node") == F.col("b")).select("a", "salt", "b", "words")
     return hubs.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(verifier(t), "a long, b long")
 
 
@@ -334,8 +341,8 @@ def tree_pairs(n: np.ndarray, pts: np.ndarray, comp: np.ndarray, side: np.ndarra
         if two:
             ok &= side[a] != side[b]
         a, b = a[ok], b[ok]
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        for at in range(0, len(a), BOUNDED):
+            x, y = a[at : at + BOUNDED], b[at : at + BOUNDED]
             most = np.minimum(overlap_bound(pts[x], pts[y]), np.minimum(n[x], n[y]))
             keep = t.holds(most, n[x], n[y])
             out_a.append(order[x[keep]])
@@ -381,8 +388,8 @@ def searcher(t: Threshold, only_nearest: bool):
             x, y = np.concatenate(xs), np.concatenate(ys)
             ok = (comp[x] != comp[y]) & t.sizes(n[x], n[y])
             x, y, found = x[ok], y[ok], []
-            for k in range(0, len(x), 1 << 16):
-                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            for k in range(0, len(x), BOUNDED):
+                a, b = x[k : k + BOUNDED], y[k : k + BOUNDED]
                 most = np.minimum(overlap_bound(pts[a], pts[b]), np.minimum(n[a], n[b]))
                 ok = t.holds(most, n[a], n[b])
                 found.append((a[ok], b[ok], (most / (n[a] + n[b] - most))[ok]))
