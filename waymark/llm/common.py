@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 1_000  # rows of an Arrow batch, at most: texts can be long
+BATCH_BYTES = 4 << 20  # or so many bytes; a longer text is a batch of its own
 #: Python workers hand large freed blocks back at once: workers are used again for later stages.
 ALLOCATOR = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 WORD_MEMO = 150_000  # words whose hash a Python worker remembers
@@ -31,6 +32,7 @@ def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package whatever their working folder is, and keep Arrow batches of whole texts small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     for k, v in ALLOCATOR.items():
         env.setdefault(k, v)

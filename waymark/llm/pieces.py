@@ -31,7 +31,7 @@ from waymark.llm.common import ship_package, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD_MEMO, PAIR_MEMO, STATE_MEMO = 300_000, 1_000_000, 100_000
+WORD_MEMO, PAIR_MEMO, STATE_MEMO = 60_000, 250_000, 25_000
 INFINITY = float("inf")
 
 
@@ -178,8 +178,8 @@ def coder(model):
         is_byte[t.byte_ids] = True
         for batch in batches:
             docs, body = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(body), 1000):
-                part = body[lo : lo + 1000]
+            for lo in range(0, len(body), 200):
+                part = body[lo : lo + 200]
                 ids = [t.encode(x or "") for x in part]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
