@@ -31,7 +31,7 @@ from waymark.llm.common import ship_package, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD_MEMO, PAIR_MEMO, STATE_MEMO = 60_000, 250_000, 25_000
+WORD_MEMO, PAIR_MEMO, STATE_MEMO = 150_000, 500_000, 50_000
 INFINITY = float("inf")
 
 
