@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,22 @@ def test_lm_prefers_seen_text(spark):
     got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame([rows[0], (100, " ".join(mixed)), (101, None)], "doc_id long, text string"), model).collect()}
     assert got[0].mean_log_probability > got[100].mean_log_probability > -8.4
     assert (got[101].n_tokens, got[101].pseudo_log_likelihood, got[101].mean_log_probability) == (0, 0.0, None)
+
+
+def test_lm_trains_on_every_position(monkeypatch):
+    texts = [" ".join(f"d{i}p{j}" for j in range(n)) for i, n in enumerate([1, 2, 3, 5, 7, 8, 9, 40, 0, 700] * 30)]
+    words = sorted({w.encode() for t in texts for w in t.split()})
+    vocab, seen, weight = words[: lm.OWN], [], 0.0
+
+    class Held:
+        value = (vocab, lm.packed(lm.start()))
+
+    monkeypatch.setattr(lm, "step", lambda p, centre, near, rate: seen.append(centre))
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None], pa.string())], names=["text"])
+    for turn in range(lm.ROUNDS):
+        (out,) = lm._trained(Held, turn, lm.ROUNDS)(iter([batch]))
+        weight += out.column(2)[0].as_py()
+    tokens = lm.Tokens(vocab)
+    assert weight == sum(len(t.split()) for t in texts)
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([tokens.of(t.encode()) for t in texts])))
+    assert max(map(len, seen)) <= 512

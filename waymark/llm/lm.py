@@ -7,8 +7,9 @@ lengths.
 
 What it learns from the corpus grows with it: words are counted over all documents by a grouped aggregation, of
 which the 3,072 most frequent get tokens of their own (others share 1,024 tokens by hash), and the network is trained in
-numpy where the data lie, by parameter averaging: in each of two rounds every task takes one in ``STRIDE`` positions of
-all its documents through mini-batch gradient steps from the common parameters, and the results are averaged weighted
+numpy where the data lie, by parameter averaging: in each of two rounds every task takes its share of the positions of
+each of its documents (every second one, the others in the other round, so that every position of every document is
+trained on once) through mini-batch gradient steps from the common parameters, and the results are averaged weighted
 by positions, added up before and after a shuffle by slices of the parameters. The driver only gets the average, of a
 fixed size (about 200,000 numbers), and broadcasts it.
 
@@ -33,8 +34,7 @@ CLASSES, SIZE, OWN = 64, 64, 3072  # classes x words in each; the first words by
 WORDS = CLASSES * SIZE
 PAD = WORDS
 DIM, SIDES = 16, (-2, -1, 1, 2)
-STRIDE, ROUNDS, STEP, RATE = 8, 2, 2048, 0.15
-GAIN = 4  # larger batches take larger steps in the softmax layers
+ROUNDS, STEP, RATE = 2, 512, 0.15
 SLICES = 16
 FLUSH = 200_000  # distinct words that a task counts before it hands them on
 SHAPES = {"emb": (len(SIDES), WORDS + 1, DIM), "wc": (DIM, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, DIM, SIZE), "bo": (CLASSES, SIZE)}
@@ -84,12 +84,11 @@ def start() -> dict[str, np.ndarray]:
 
 
 def contexts(tokens: list[np.ndarray], first: int = 0, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and neighbours (n x 4) of the positions of several documents, or of one in ``stride``."""
+    """Centres and neighbours (n x 4) of the positions of several documents, or of one in ``stride`` of each from its ``first``."""
     pad = np.full(2, PAD, np.int32)
     line = np.concatenate([x for t in tokens for x in (t, pad)] + [pad]) if tokens else pad
     line = np.concatenate((pad, line))
-    at = np.concatenate([np.arange(len(t)) + lo for t, lo in zip(tokens, np.cumsum([2] + [len(t) + 2 for t in tokens[:-1]]), strict=True)]) if tokens else np.zeros(0, np.int64)
-    at = at[first::stride]
+    at = np.concatenate([np.arange(first, len(t), stride) + lo for t, lo in zip(tokens, np.cumsum([2] + [len(t) + 2 for t in tokens[:-1]]), strict=True)]) if tokens else np.zeros(0, np.int64)
     return line[at], np.stack([line[at + d] for d in SIDES], axis=1)
 
 
@@ -147,16 +146,21 @@ def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     g = softmax(h @ p["wc"] + p["bc"])
     g[np.arange(n), c] -= 1
     dh = g @ p["wc"].T
-    p["wc"] -= rate * GAIN / n * (h.T @ g)
-    p["bc"] -= rate * GAIN / n * g.sum(axis=0)
-    for k in np.flatnonzero(edges[1:] > edges[:-1]):
+    p["wc"] -= rate / n * (h.T @ g)
+    p["bc"] -= rate / n * g.sum(axis=0)
+    there = np.flatnonzero(edges[1:] > edges[:-1])
+    y = np.empty((n, SIZE), np.float32)
+    for k in there:
         r = slice(edges[k], edges[k + 1])
-        y = softmax(h[r] @ p["wo"][k] + p["bo"][k])
-        y[np.arange(len(y)), w[r]] -= 1
-        dh[r] += y @ p["wo"][k].T
-        m = rate * GAIN / max(16 * GAIN, len(y))
-        p["wo"][k] -= m * (h[r].T @ y)
-        p["bo"][k] -= m * y.sum(axis=0)
+        np.matmul(h[r], p["wo"][k], out=y[r])
+    y = softmax(y + p["bo"][c])
+    y[np.arange(n), w] -= 1
+    m = (rate / np.maximum(16, np.diff(edges))).astype(np.float32)
+    for k in there:
+        r = slice(edges[k], edges[k + 1])
+        dh[r] += y[r] @ p["wo"][k].T
+        p["wo"][k] -= m[k] * (h[r].T @ y[r])
+    p["bo"][there] -= m[there, None] * np.add.reduceat(y, edges[there], axis=0)
     dx = (dh * (1 - h * h)).astype(np.float32)
     for s in range(len(SIDES)):
         # the steps of each neighbour by the root of their number, so that frequent words don't overshoot
@@ -185,7 +189,7 @@ def _slices(total: np.ndarray, weight: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary()), pa.array([float(weight)] * SLICES)], names=["slice", "payload", "weight"])
 
 
-def _trained(held, turn: int):
+def _trained(held, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = held.value
         tokens, p, seen, kept = Tokens(words), unpacked(flat), 0, []
@@ -202,7 +206,7 @@ def _trained(held, turn: int):
         for batch in batches:
             body = texts(batch)
             for lo in range(0, len(body), 100):
-                kept.append(contexts([t for t in (tokens.of(x) for x in body[lo : lo + 100]) if len(t)], turn, STRIDE))
+                kept.append(contexts([t for t in (tokens.of(x) for x in body[lo : lo + 100]) if len(t)], turn, rounds))
                 if sum(len(c) for c, _ in kept) >= 8 * STEP:
                     steps(False)
         if kept:
@@ -223,13 +227,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """Words with tokens of their own, and the trained parameters."""
+    """Words with tokens of their own, and the trained parameters; each position is trained on in one of the rounds."""
     spark, schema = docs.sparkSession, "slice int, payload binary, weight double"
     ship_package(spark)
     words, flat = vocabulary(docs), packed(start())
     for turn in range(rounds):
         held = spark.sparkContext.broadcast((words, flat))
-        rows = docs.select("text").mapInArrow(_trained(held, turn * (STRIDE // 2)), schema).repartition(SLICES, "slice").mapInArrow(_added, schema).collect()
+        rows = docs.select("text").mapInArrow(_trained(held, turn, rounds), schema).repartition(SLICES, "slice").mapInArrow(_added, schema).collect()
         parts = {r.slice: np.frombuffer(r.payload, np.float32) / r.weight for r in rows if r.weight > 0}
         if len(parts) < SLICES:
             break
