@@ -163,11 +163,11 @@ def path_length(spark, sf):
 
 
 SEG = f"{T}, l AS (SELECT unnest([100e0, 200e0, 400e0, 800e0]) AS len), s AS (SELECT i.traj_id, i.frame AS first_frame, len, min(j.frame) AS last_frame FROM f i, l, f j WHERE i.frame % 10 = 0 AND j.traj_id = i.traj_id AND j.dist > i.dist + len GROUP BY ALL)"
-LENGTHS = (100, 200, 400, 800)
+LENGTHS = (100, 200, 400, 800)  # those of the SQL; the queries named ..._all take all of the operator's, and are held against brute force
 
 
-def segs(spark, sf):
-    return metrics.segments(frames(spark, sf).select("traj_id", "frame", "dist"), LENGTHS)
+def segs(spark, sf, lengths=LENGTHS):
+    return metrics.segments(frames(spark, sf).select("traj_id", "frame", "dist"), lengths)
 
 
 @query("segment_pairs", f"WITH {SEG} SELECT traj_id, first_frame, len, last_frame FROM s")
@@ -175,18 +175,28 @@ def segment_pairs(spark, sf):
     return segs(spark, sf)
 
 
+@query("segment_pairs_all")
+def segment_pairs_all(spark, sf):
+    return segs(spark, sf, metrics.LENGTHS)
+
+
 @query("segment_speed", f"WITH {SEG} SELECT traj_id, first_frame, len, round(len / (0.1e0 * (last_frame - first_frame + 1)), 6) AS speed FROM s")
 def segment_speed(spark, sf):
     return segs(spark, sf).select("traj_id", "first_frame", "len", r6(metrics.speed()).alias("speed"))
 
 
+@query("segment_speed_all")
+def segment_speed_all(spark, sf):
+    return segs(spark, sf, metrics.LENGTHS).select("traj_id", "first_frame", "len", r6(metrics.speed()).alias("speed"))
+
+
 ERR = f"{SEG}, m AS (SELECT avg(value) AS a FROM events), x AS (SELECT s.*, abs(f.value - a) / len AS t_err, abs(f.value - a) / len / 10 AS r_err, len / (10e0 * (last_frame - first_frame + 1)) AS speed FROM s JOIN f ON f.traj_id = s.traj_id AND f.frame = s.last_frame, m)"
 
 
-def errors(spark, sf):
+def errors(spark, sf, lengths=LENGTHS):
     f = frames(spark, sf)
     mean = table(spark, sf, "events").agg(F.avg("value").alias("a"))
-    ends = segs(spark, sf).join(f.select("traj_id", F.col("frame").alias("last_frame"), "value"), ["traj_id", "last_frame"]).crossJoin(F.broadcast(mean))
+    ends = segs(spark, sf, lengths).join(f.select("traj_id", F.col("frame").alias("last_frame"), "value"), ["traj_id", "last_frame"]).crossJoin(F.broadcast(mean))
     t = F.abs(F.col("value") - F.col("a")) / F.col("len")
     return ends.select("len", t.alias("t_err"), (t / 10).alias("r_err"), metrics.speed(period=10.0).alias("speed"))
 
@@ -195,18 +205,33 @@ CURVE = "count(*) AS n, round(avg(t_err), 6) AS t_err, round(avg(r_err), 6) AS r
 
 
 @query("error_by_length", f"WITH {ERR} SELECT len, {CURVE} FROM x GROUP BY len HAVING count(*) >= 3")
-def error_by_length(spark, sf):
-    return metrics.error_by_length(errors(spark, sf)).select("len", "n", r6("t_err").alias("t_err"), r6("r_err").alias("r_err"))
+def error_by_length(spark, sf, lengths=LENGTHS):
+    return metrics.error_by_length(errors(spark, sf, lengths)).select("len", "n", r6("t_err").alias("t_err"), r6("r_err").alias("r_err"))
+
+
+@query("error_by_length_all")
+def error_by_length_all(spark, sf):
+    return error_by_length(spark, sf, metrics.LENGTHS)
 
 
 @query("error_by_speed", f"WITH {ERR}, b AS (SELECT unnest(range(2, 25, 2))::DOUBLE AS bin) SELECT bin, {CURVE} FROM x, b WHERE abs(speed - bin) < 2 GROUP BY bin HAVING count(*) >= 3")
-def error_by_speed(spark, sf):
-    return metrics.error_by_speed(errors(spark, sf)).select("bin", "n", r6("t_err").alias("t_err"), r6("r_err").alias("r_err"))
+def error_by_speed(spark, sf, lengths=LENGTHS):
+    return metrics.error_by_speed(errors(spark, sf, lengths)).select("bin", "n", r6("t_err").alias("t_err"), r6("r_err").alias("r_err"))
+
+
+@query("error_by_speed_all")
+def error_by_speed_all(spark, sf):
+    return error_by_speed(spark, sf, metrics.LENGTHS)
 
 
 @query("error_overall", f"WITH {ERR} SELECT count(*) AS n, round(100 * avg(t_err), 6) AS t_percent, round(degrees(avg(r_err)), 6) AS r_deg FROM x")
-def error_overall(spark, sf):
-    return metrics.error_overall(errors(spark, sf)).select("n", r6("t_percent").alias("t_percent"), r6("r_deg").alias("r_deg"))
+def error_overall(spark, sf, lengths=LENGTHS):
+    return metrics.error_overall(errors(spark, sf, lengths)).select("n", r6("t_percent").alias("t_percent"), r6("r_deg").alias("r_deg"))
+
+
+@query("error_overall_all")
+def error_overall_all(spark, sf):
+    return error_overall(spark, sf, metrics.LENGTHS)
 
 
 def pose_frames(spark, sf):
@@ -216,15 +241,20 @@ def pose_frames(spark, sf):
 
 
 @query("segment_errors", f"WITH {SEG} SELECT traj_id, first_frame, last_frame, len, 0e0 AS r_err, 0e0 AS t_err FROM s")
-def segment_errors(spark, sf):
+def segment_errors(spark, sf, lengths=LENGTHS):
     """A trajectory against itself moved rigidly: all errors are 0."""
     f = frames(spark, sf).select("traj_id", "frame", trajectory.planar_pose(F.col("dist"), F.lit(0.0), F.col("value") / 1000).col.alias("pose"))
     at = geom.pose(geom.vec(1, 2, 3), geom.from_ypr(0.5, 0.2, 0.1))
     moved = f.withColumn("pose", geom.compose(at, F.col("pose")).col)
-    out = metrics.segment_errors(f, moved, LENGTHS)
+    out = metrics.segment_errors(f, moved, lengths)
     return out.select("traj_id", "first_frame", "last_frame", "len", r6("r_err").alias("r_err"), r6("t_err").alias("t_err"))
 
 
+@query("segment_errors_all")
+def segment_errors_all(spark, sf):
+    return segment_errors(spark, sf, metrics.LENGTHS)
+
+
 @query("rebase_first", f"WITH {T}, z AS (SELECT *, first_value(dist) OVER w AS d0, first_value(value) OVER w AS v0 FROM f WINDOW w AS (PARTITION BY traj_id ORDER BY frame)) SELECT event_id, round(cos(v0 / 1000) * (dist - d0) / 100, 4) + 0e0 AS x, round(-sin(v0 / 1000) * (dist - d0) / 100, 4) + 0e0 AS y, round((value - v0) / 1000, 5) + 0e0 AS yaw FROM z")
 def rebase_first(spark, sf):
     out = trajectory.rebase_first(pose_frames(spark, sf), order="frame")
@@ -298,6 +328,11 @@ def graph_neighbors(spark, sf):
     return graph.neighbours(e, e.where("entity_id < 50").select("entity_id").distinct())
 
 
+@query("graph_neighbors_all")
+def graph_neighbors_all(spark, sf):
+    return graph.neighbours(factors(spark, sf))
+
+
 @query("graph_degree", "SELECT l_partkey AS entity_id, count(DISTINCT l_orderkey) AS n_factors, count(*)::BIGINT AS n_edges FROM lineitem GROUP BY l_partkey")
 def graph_degree(spark, sf):
     return graph.degrees(factors(spark, sf))
@@ -344,6 +379,12 @@ def lookup_ids(spark, sf):
     return graph.lookup(o, "o_orderkey", o.where("o_custkey < 20"))
 
 
+@query("lookup_ids_all")
+def lookup_ids_all(spark, sf):
+    """Every order that a line item names."""
+    return graph.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct())
+
+
 # --- dispatch and text ----------------------------------------------------------------------------------------------
 
 
