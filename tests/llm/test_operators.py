@@ -232,3 +232,16 @@ def test_lm_trains_on_every_position(monkeypatch):
     assert weight == sum(len(t.split()) for t in texts)
     assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([tokens.of(t.encode()) for t in texts])))
     assert max(map(len, seen)) <= 512
+
+
+def test_long_and_quoted_secrets_are_redacted_whole():
+    body = ("Zx81kQp0Lm2n+/" * 700)[:9001]
+    key = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(("MIIEvQ1b/x9Zk+" * 5)[:64] for _ in range(90)) + "\n-----END PRIVATE KEY-----"
+    front = "private_key_" + "of_the_service_" * 8
+    texts = [f'private_key = "{body}"', f"signature: {body}", f'{front} = "Zx81kQp0Lm2n"', f'{front}x = "Zx81kQp0Lm2n"\nq = {front}x', "credentials = 'Zx81\\'kQp0\"Lm2n'", f'credentials = """{key}"""', f'credentials = "{key}"', f"signature = `{body}`"]
+    texts += [f"{'k' * 70} = \"Zx81kQp0Lm2n\"\nauth = {'k' * 70}", 'note: "he said credentials=\'Zx81kQp0Lm2n\'"', 'auth = "Zx81kQp0Lm2n\\"', "--auth=Zx81kQp0Lm2n"]
+    for t in texts:
+        clean = secrets.redacted(t, secrets.spans(t)[1], "[X]")
+        assert "[X]" in clean and not re.search("Zx81|Lm2n|MIIE|kQp0", clean), t[:60]
+    for t in ['auth = """some words\nof prose 12 that say nothing"""', 'auth: "two words"', "x" * 200_000, "a=`" * 20_001, '"a' * 50_000, 'a="""\\' * 20_000]:
+        assert not secrets.spans(t)[1]

@@ -6,7 +6,10 @@ pairs (``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``name=li
 (``KEY = "..."`` then ``password = KEY``, at any distance and in either order, chains included), and a literal is scored
 by its target names: a literal counts where a name that it reaches has a sensitive word among its words and the literal
 itself looks like a secret (eight characters or more, no spaces, letters and digits mixed or of high entropy, no
-placeholder). A ``lex`` span is the literal without its quotes, and is left out where a base span covers it.
+placeholder; line breaks, indents and armour of a key that has several lines aside). Names and literals have no greatest
+length; quoted literals run to their closing quote, with escapes and other quotes inside, and triple-quoted, back-quoted
+and armoured ones over lines; pairs inside such a literal are read as well. A ``lex`` span is the literal without its
+quotes, and is left out where a base span covers it.
 
 Spans are code points, end exclusive. Nulls and empty texts have none. Rows are scanned one by one, nothing is
 shuffled, and the whole of each text is read; repeated rows give repeated results.
@@ -34,8 +37,17 @@ KINDS = ("assign", "access", "hex")
 SENSITIVE = frozenset("password passwd pwd passphrase secret secrets token apikey credential credentials auth bearer privatekey accesskey signature salt".split())
 PAIRED = frozenset([("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key")])
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|changeme|example|placeholder|your[_-].*|<.*>|\$\{.*\}|none|null|true|false|undefined)$")
-PAIR = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[ \t]*(?::=|=>|=|:)[ \t]*(?:(?P<lq>["'`])(?P<lit>[^"'`\n]{1,4096})(?P=lq)|(?P<bare>[A-Za-z0-9_+/.=-]{1,4096}))""")
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}")
+# a literal runs to its closing quote, whatever its length: triple-quoted, armoured key, escapes heeded, or as plainly as it stands
+LITERALS = (
+    r'"{3}(?P<d3>(?:[^"\\]++|\\.|"(?!""))++)"{3}', r"'{3}(?P<s3>(?:[^'\\]++|\\.|'(?!''))++)'{3}", r"""(?P<kq>["'])(?P<key>\s*-----BEGIN [^"'`]*?-----END [A-Z0-9 ]+-----\s*)(?P=kq)""",
+    r'"(?P<d>(?:[^"\\\n]++|\\.)++)"', r"'(?P<s>(?:[^'\\\n]++|\\.)++)'", r"`(?P<b>(?:[^`\\]++|\\.)++)`", r"""(?P<pq>["'`])(?P<plain>[^"'`\n]+)(?P=pq)""", r"(?P<bare>[A-Za-z0-9_+/.=-]++)",
+)
+PAIR = re.compile(r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_.-])[0-9.-]*+)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?(q)(?P=q))[ \t]*+(?::=|=>|=|:)[ \t]*+(?:""" + "|".join(LITERALS) + ")", re.DOTALL)
+PLAIN = re.compile(r"""(["'`])([^"'`\n]+)\1""")
+INSIDE = re.compile(r"""["'`\\\n]""")  # a literal with any of these may hold pairs of its own
+ARMOUR = re.compile(r"-----(?:BEGIN|END)[^-]*-----")
+BREAK = re.compile(r"\n|\\r|\\n")
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -45,6 +57,8 @@ def sensitive(name: str) -> bool:
 
 
 def looks_secret(s: str) -> bool:
+    if "\n" in s or "-----BEGIN" in s:  # the lines of a key, without its armour
+        s = "".join(x.strip() for x in BREAK.split(ARMOUR.sub("", s)))
     if len(s) < 8 or any(c.isspace() for c in s) or PLACEHOLDER.match(s):
         return False
     kinds = sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -70,15 +84,18 @@ def lexed(text: str) -> list[tuple[int, int]]:
         return []
     literals: list[tuple[str, str, int, int]] = []
     copies: dict[str, list[str]] = {}  # name to the names that it is assigned to
-    for m in PAIR.finditer(text):
-        name = m["name"]
-        if m["lit"] is not None:
-            literals.append((name, m["lit"], *m.span("lit")))
-        else:
-            bare = m["bare"]
-            literals.append((name, bare, *m.span("bare")))
-            if NAME.fullmatch(bare):
-                copies.setdefault(bare, []).append(name)
+    at = 0
+    while m := PAIR.search(text, at):
+        name, kind, at = m["name"], m.lastgroup, m.end()
+        value = m[kind]
+        literals.append((name, value, *m.span(kind)))
+        if kind == "bare":
+            if NAME.fullmatch(value):
+                copies.setdefault(value, []).append(name)
+        elif INSIDE.search(value):
+            at = m.start(kind)
+            if not looks_secret(value) and (p := PLAIN.match(text, at - 1)):  # where a backslash is no escape
+                literals.append((name, p[2], *p.span(2)))
     if not literals:
         return []
     defined = {n for n, *_ in literals}
