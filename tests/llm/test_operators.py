@@ -245,3 +245,14 @@ def test_long_and_quoted_secrets_are_redacted_whole():
         assert "[X]" in clean and not re.search("Zx81|Lm2n|MIIE|kQp0", clean), t[:60]
     for t in ['auth = """some words\nof prose 12 that say nothing"""', 'auth: "two words"', "x" * 200_000, "a=`" * 20_001, '"a' * 50_000, 'a="""\\' * 20_000]:
         assert not secrets.spans(t)[1]
+
+
+def test_declared_language_behind_a_long_head(spark):
+    head = b"<!-- <html lang='de'> licence " + b"x" * 5000 + b" -->" + b" \n" * 5000
+    assert langid.declaration(head + b"<!DOCTYPE html><HTML class=a Lang='fr-CA'><p>") == "fr"
+    assert langid.declaration(head + b"<html><script>'<html lang=en>'</script>") is None
+    assert langid.declaration(b"<!-- open <html lang=es>") == "es" and langid.declaration(b"<!-- <html " * 50_000) is None
+    known = spark.createDataFrame([("fr", "le chat est sur la table"), ("de", "die katze ist auf dem tisch")], "lang string, text string")
+    pages = spark.createDataFrame([(1, "http://a.org/", (head + b"<html lang=fr></html>").decode())], "page_id long, url string, html string")
+    (row,) = langid.identify(known, pages, spark.createDataFrame([], "doc_id long, text string, source string")).collect()
+    assert row.declared == "fr" and row.lang == "fr"

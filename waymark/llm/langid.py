@@ -4,7 +4,7 @@ Languages are those that ``documents.lang`` names. Evidence for a row (a page or
 
 * text: byte trigrams of the (tag-free, lower-cased) text, hashed to 2**15 buckets, under smoothed per-language
   trigram counts of all labelled documents; tempered, since neighbouring trigrams are not independent;
-* declared markup language (``<html lang=...>``) : P(declared | language), estimated by a grouped aggregation of
+* declared markup language (``<html lang=...>``, wherever the element starts) : P(declared | language), estimated by a grouped aggregation of
   what pages declare against what their text says, with additive smoothing;
 * host: P(language | host), smoothed hierarchically by grouped aggregation: counts of a host are smoothed towards its
   registered domain's, those towards its address suffix's, those towards the corpus's, those towards uniform. A row's
@@ -37,14 +37,37 @@ BITS, PIECES, LANGUAGES = 15, 4, 200
 TEMPER = 0.25  # weight of a trigram's log-likelihood
 KAPPA = 4.0  # pseudo-counts that a level gets from the one above
 DROPPED = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
-DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
-HEAD = 4096  # bytes in which the html element must start
+OPENED = re.compile(rb"<(?:(!--)|(html)\b|(script|style|textarea|title|template)\b)", re.IGNORECASE)
+LANG = re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
 
 
 def visible(html: bytes) -> bytes:
     return DROPPED.sub(b" ", html)
 
 
+def declaration(html: bytes) -> str | None:
+    """The language that the html element declares, wherever in the page it is; comments, scripts and raw text are passed over if closed."""
+    at, unclosed = 0, set()
+    while m := OPENED.search(html, at):
+        at = m.end()
+        if m[2]:
+            end = html.find(b">", at)
+            if said := LANG.search(html, at, end if end >= 0 else len(html)):
+                return said[1].decode().lower()[:2]
+            if end < 0:
+                return None
+            at = end
+            continue
+        kind = (m[1] or m[3]).lower()
+        if kind not in unclosed:
+            end = html.find(b"-->", m.start() + 2) if m[1] else (c.start() if (c := re.compile(rb"</" + kind + rb"\b", re.IGNORECASE).search(html, at)) else -1)
+            if end < 0:
+                unclosed.add(kind)
+            else:
+                at = end + 2
+    return None
+
+
 def trigrams(text: bytes) -> np.ndarray:
     """Bucket of every byte trigram; runs of white space count as one space."""
     b = np.frombuffer(b" ".join(text.lower().split()), np.uint8).astype(np.uint32)
@@ -108,8 +131,7 @@ def _evidence(held, html: bool):
             likely, said, best = [], [], []
             for t in texts(batch):
                 t = t or b""
-                m = DECLARED.search(t, 0, HEAD) if html else None
-                said.append(m[1].decode().lower()[:2] if m else None)
+                said.append(declaration(t) if html else None)
                 g = trigrams(visible(t) if html else t)
                 x = np.zeros(len(langs))
                 for lo in range(0, len(g), 1 << 16):
