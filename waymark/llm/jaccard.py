@@ -5,11 +5,14 @@ counts are a point, and the summed coordinate minima of two points (or of two bo
 corners) bound the overlap of the sets from above. Steps:
 
 1. ``sketch``: one pass over the texts gives each document its set size, a fingerprint of its set (equal
-   sets become one *node*, so exact copies are handled once), its point, and per task a table of how often
-   each of 2**21 shingle buckets occurs (a fixed size, whatever the corpus).
-2. Trees are addressed by shingles: under one global order, rarest bucket first, two sets whose similarity
-   reaches the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each (prefix principle), so
-   each node is put in the trees of these shingles and no link is lost. Trees with one node are dropped.
+   sets become one *node*, so exact copies are handled once) and its point.
+2. Trees are addressed by shingles: under one global order, rarest first, two sets whose similarity reaches the
+   threshold share a shingle among the first ``n - ceil(t n) + 1`` of each (prefix principle), so each node is put in the
+   trees of these shingles and no link is lost. Rarity is counted exactly, whatever the size of the corpus: every
+   shingle of every set is dealt once, packed into some six bytes, to the piece of the hash range that counts it; the
+   entries of shingles that several sets have are sent back to their documents' group, where each document takes
+   its first ones. A shingle that one set has alone comes first and addresses no tree, so that most documents are in none.
+   A shingle that is frequent within some 2,000 documents is one entry of theirs, with its number.
 3. The smallest node of each tree is compared with all others there and then leaves the tree: set sizes and points
    bound the overlap, and pairs that may reach the threshold are verified on the whole sets. Most trees have two
    nodes and are finished. Verified links join components, and trees that lie in one component are done.
@@ -20,17 +23,18 @@ corners) bound the overlap of the sets from above. Steps:
    of chunks, each a task's work of bounded size.
 
 Links inside a component that is already known add nothing and are not looked for; the result (components)
-is that of all pairs. Nothing is collected but the bucket table. Most entries belong to trees with one node: entries are
-shuffled once, packed into some six bytes each, only to find the trees that several entries share; the entries of these
-alone are then joined with their nodes.
+is that of all pairs, but the number of a row's links is not known. Nothing is collected to the driver.
 
 Nulls and texts without words have no shingles and link with nothing; documents of fewer than k words are one
-shingle, the whole sequence. Repeated rows are equal sets. A null doc_id is kept and counts as an own row.
-Sets are compared by 64-bit shingle hashes and identified by a 64-bit fingerprint with the set's size.
+shingle, the whole sequence. Repeated rows are equal sets. A null doc_id is kept and counts as an own row. Extra columns are
+not read. A very long text takes memory in proportion to its words, in one task. Sets are compared by 64-bit shingle
+hashes and identified by a 64-bit fingerprint; a second one is compared with it, and if two unlike sets ever fall together
+the sketch is made again with another seed.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,13 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WordHash, drop_saved, maybe_broadcast, mix, saved, ship_package, shingle_hashes, small_enough, starts, table, texts, whole_groups, word_hashes
+from waymark.llm.common import WordHash, maybe_broadcast, mix, saved, ship_package, shingle_hashes, small_enough, starts, table, texts, whole_groups, word_hashes
 from waymark.llm.components import connected_components
 
 GROUP_BITS = 8
 GROUPS = 1 << GROUP_BITS  # coordinates of a point: bounds of unlike sets stay below 0.8 up to some 7,000 shingles
-BUCKET_BITS = 21  # of the table of shingle frequencies
-PIECES = 32  # rows that a task's table is cut into
 NEAREST = 2  # turns in which each node is compared with the nearest of another component only
 CHUNK = 1024  # nodes of a tree that are compared in one piece
 LEAF = 32  # points in an R-tree leaf
@@ -54,7 +56,8 @@ BROADCAST_ROWS = 1_000_000  # rows of 16 bytes at most that are broadcast
 TREE_BITS = 48  # of the hash that addresses a tree; two trees that fall together only share their candidates
 BOUNDED = 1 << 13  # pairs whose points are compared at once
 MATES = 256  # sets that one copy of a hub's set is compared with, about
-FLUSH = 1_000_000  # entries that a task holds before it packs them
+FLUSH = 1_000_000  # entries of the documents of one group, about
+HOT = 3  # documents of a group that share a shingle are one entry from this number on
 PIECE_ENTRIES = 1_000_000  # entries of the piece of the hash range that one task matches, about
 FULL = np.uint16(65535)  # a coordinate of this size or more
 
@@ -79,10 +82,11 @@ def doc_set(text: bytes | None, memo: WordHash, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text or b"", memo), k))
 
 
-def fingerprint(s: np.ndarray) -> int:
+def fingerprint(s: np.ndarray, seed: int = 0) -> int:
     """Of a set: order-free sums of two mixes, folded with the size."""
-    a = int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-    b = int(mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
+    salt = np.uint64((seed + 1) * 0xA5A5A5A5A5A5A5A5 & 0xFFFFFFFFFFFFFFFF)
+    a = int(mix(s ^ salt).sum(dtype=np.uint64))
+    b = int(mix(s * np.uint64(0xD6E8FEB86659FD93) + salt).sum(dtype=np.uint64))
     x = np.array([a ^ (b >> 1) ^ (len(s) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)], np.uint64)
     return int(mix(mix(x)).view(np.int64)[0])
 
@@ -97,162 +101,210 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.sum(axis=-1, dtype=np.int64) + np.where((least == FULL).any(axis=-1), 1 << 40, 0)
 
 
-SKETCH = "doc_id long, node long, n long, piece int, payload binary"
+SKETCH = "doc_id long, node long, other long, n long, payload binary"
+OTHER = 1 << 20  # seed of the second fingerprint, after the first's
 
 
-def sketcher(k: int):
+def sketcher(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = WordHash(), np.zeros(1 << BUCKET_BITS, np.int64)
+        memo = WordHash()
         for batch in batches:
-            ids, nodes, sizes, points = batch.column(0), [], [], []
+            rows = []
             for t in texts(batch):
                 s = doc_set(t, memo, k)
-                nodes.append(fingerprint(s) if len(s) else None)
-                sizes.append(len(s))
-                points.append(point(s).tobytes() if len(s) else None)
-                np.add.at(counts, (s & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.array(points, pa.binary())], names=["doc_id", "node", "n", "piece", "payload"])
-        cut = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).reshape(PIECES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["doc_id", "node", "n", "piece", "payload"])
+                rows.append((fingerprint(s, seed), fingerprint(s, seed + OTHER), len(s), point(s).tobytes()) if len(s) else (None, None, 0, None))
+            nodes, others, sizes, points = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "node", "other", "n", "payload"])
 
     return run
 
 
-def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(payload, np.uint32).astype(np.uint64)
-            total[piece] = total[piece] + x if piece in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["piece", "payload"])
+# rows that are dealt to count shingles: a piece of the hash range with packed entries, or (key < 0) a group's documents
+ENTRIES = "key long, grp long, payload binary"
+HEADER = struct.Struct("<qIIBB")
 
 
-def bucket_table(pieces: DataFrame) -> np.ndarray:
-    """The summed table, of 2**21 counts; tasks add up what they have before it is dealt by piece."""
-    schema = "piece int, payload binary"
-    summed = pieces.mapInArrow(_add_tables, schema).repartition(PIECES, "piece").mapInArrow(_add_tables, schema)
-    out = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), np.uint32)
-    for row in summed.collect():
-        out[row.piece] = np.frombuffer(row.payload, np.uint32)
-    return out.reshape(-1)
+def pack_bytes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-PREFIX = "tree long, ref long, node long, n int, piece int, payload binary"
+def unpack_bytes(payload: bytes, at: int, size: int, width: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = np.frombuffer(payload, np.uint8, size * width, at).reshape(size, width)
+    return out.view("<u8").ravel().astype(np.int64)
 
 
-def prefix_rows(**columns) -> pa.RecordBatch:
-    """A batch of PREFIX rows; columns that aren't given are null."""
-    size = len(next(iter(columns.values())))
-    kinds = {"tree": pa.int64(), "ref": pa.int64(), "node": pa.int64(), "n": pa.int32(), "piece": pa.int32(), "payload": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], names=list(kinds))
+def width_of(x: np.ndarray) -> int:
+    return max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
 
 
-def pack_bits(x: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(bits[:, 64 - width :]).tobytes()
+def pack_entries(tree: np.ndarray, doc: np.ndarray, docs: int, times: np.ndarray) -> bytes:
+    """Entries sorted by tree: steps between the trees, numbers of documents in the group (from ``docs`` on: of shared lists), lengths of these lists."""
+    steps = np.diff(tree, prepend=tree[:1])
+    w, v = width_of(steps), width_of(doc)
+    return HEADER.pack(int(tree[0]), len(tree), docs, w, v) + pack_bytes(steps, w) + pack_bytes(doc, v) + times[doc[doc >= docs] - docs].astype("<u4").tobytes()
 
 
-def unpack_bits(data: np.ndarray, size: int, width: int) -> np.ndarray:
-    bits = np.zeros((size, 64), np.uint8)
-    bits[:, 64 - width :] = np.unpackbits(data, count=size * width).reshape(size, width)
-    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.int64)
+def unpack_entries(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees, documents, and how many documents each entry stands for."""
+    first, size, docs, w, v = HEADER.unpack_from(payload)
+    at = HEADER.size
+    tree, doc = first + np.cumsum(unpack_bytes(payload, at, size, w)), unpack_bytes(payload, at + size * w, size, v)
+    times = np.ones(size, np.int64)
+    times[doc >= docs] = np.frombuffer(payload, "<u4", -1, at + size * (w + v))
+    return tree, doc, times
 
 
-def pack_entries(tree: np.ndarray, doc: np.ndarray, base: int) -> bytes:
-    """Entries sorted by tree: differences of the trees and numbers of the documents after ``base``, each in as few bits as hold them."""
-    steps = np.diff(tree, prepend=tree[:1])
-    wide = [max(1, int(x.max()).bit_length()) for x in (steps, doc)]
-    return np.array([tree[0], base, len(tree), *wide], np.int64).tobytes() + pack_bits(steps, wide[0]) + pack_bits(doc, wide[1])
+def pack_group(nodes: list[int], sizes: list[int], lists: np.ndarray, members: np.ndarray) -> bytes:
+    return struct.pack("<II", len(nodes), len(lists)) + np.array([nodes, sizes], np.int64).tobytes() + lists.astype("<u4").tobytes() + members.astype("<u4").tobytes()
+
+
+def unpack_group(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and set sizes of a group's documents, lengths of its shared lists, and the documents in these."""
+    docs, lists = struct.unpack_from("<II", payload)
+    nodes, sizes = np.frombuffer(payload, np.int64, 2 * docs, 8).reshape(2, docs)
+    rest = np.frombuffer(payload, "<u4", -1, 8 + 16 * docs).astype(np.int64)
+    return nodes, sizes, rest[:lists], rest[lists:]
 
 
-def unpack_entries(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    first, base, size, wide, doc_wide = np.frombuffer(payload, np.int64, 5).tolist()
-    data = np.frombuffer(payload, np.uint8, offset=40)
-    cut = -(-size * wide // 8)
-    return first + np.cumsum(unpack_bits(data[:cut], size, wide)), base + unpack_bits(data[cut:], size, doc_wide)
+def entry_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    key, grp, payload = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(grp, pa.int64()), pa.array(payload, pa.binary())], names=["key", "grp", "payload"])
 
 
-def prefixer(k: int, t: Threshold, table, pieces: int):
-    """PREFIX rows: ``(ref, node, n)`` names a document of this task; packed entries of trees, dealt by piece of the hash
-    range; and, beyond two entries of a tree in one flush, which are packed and settle that it has company, ``(tree, ref)``."""
+def dealer(k: int, seed: int, pieces: int):
+    """All shingles of all sets of this task as ENTRIES; sets that the task has had already are left out."""
 
-    def packed(trees: list[np.ndarray], docs: list[int], base: int) -> Iterator[pa.RecordBatch]:
-        tree, doc = np.concatenate(trees), np.repeat(np.array(docs) - docs[0], [len(x) for x in trees])
+    def packed(sets: list[np.ndarray], nodes: list[int], grp: int) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x) for x in sets]
+        tree, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(tree, kind="stable")
-        tree, doc, base = tree[order], doc[order], base + docs[0]
-        third = np.zeros(len(tree), bool)
-        third[2:] = tree[2:] == tree[:-2]
-        if third.any():
-            yield prefix_rows(tree=tree[third], ref=base + doc[third])
-        tree, doc = tree[~third], doc[~third]
+        tree, doc = tree[order], doc[order]
+        at = np.flatnonzero(np.diff(tree, prepend=-1))
+        times = np.diff(np.append(at, len(tree)))
+        hot = times >= HOT
+        keep, inside = np.ones(len(tree), bool), np.repeat(hot, times)
+        keep[inside] = False
+        keep[at[hot]] = True
+        lists, members = times[hot], doc[inside]
+        doc = doc.copy()
+        doc[at[hot]] = len(sets) + np.arange(len(lists))
+        tree, doc = tree[keep], doc[keep]
+        yield entry_rows([(-1 - grp, grp, pack_group(nodes, sizes, lists, members))])
         piece = (tree >> (TREE_BITS - 24)) * pieces >> 24
-        at = np.union1d(np.flatnonzero(np.diff(piece, prepend=-1)), np.arange(0, len(tree), 1 << 16))
-        ends = np.append(at[1:], len(tree))
-        for lo in range(0, len(at), 200):
-            part = list(zip(at[lo : lo + 200], ends[lo : lo + 200], strict=True))
-            yield prefix_rows(piece=[int(piece[x]) for x, _ in part], payload=[pack_entries(tree[x:y], doc[x:y], base) for x, y in part])
+        at = np.flatnonzero(np.diff(piece, prepend=-1))
+        cuts = list(zip(at.tolist(), np.append(at[1:], len(tree)).tolist(), strict=True))
+        for lo in range(0, len(cuts), 200):
+            yield entry_rows([(int(piece[x]), grp, pack_entries(tree[x:y], doc[x:y], len(sets), lists)) for x, y in cuts[lo : lo + 200]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, rare, base = WordHash(), table.value, TaskContext.get().partitionId() << 33
-        count, seen, trees, docs, held = 0, set(), [], [], 0
+        memo, grp = WordHash(), TaskContext.get().partitionId() << 33
+        seen, sets, nodes, held = set(), [], [], 0
         for batch in batches:
-            nodes, sizes, refs = [], [], []
             for text in texts(batch):
                 s = doc_set(text, memo, k)
-                n = len(s)
-                if not n:
+                if not len(s):
                     continue
-                node = fingerprint(s)
+                node = fingerprint(s, seed)
                 if node in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                key = (rare[(s & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
-                first = s[np.argsort(key, kind="stable")[: t.prefix(n)]]
-                trees.append((first >> np.uint64(64 - TREE_BITS)).astype(np.int64))
-                docs.append(count)
+                sets.append((s >> np.uint64(64 - TREE_BITS)).astype(np.int64))
                 nodes.append(node)
-                sizes.append(n)
-                refs.append(base + count)
-                count += 1
-                held += len(first)
+                held += len(s)
                 if held >= FLUSH:
-                    yield from packed(trees, docs, base)
-                    trees, docs, held = [], [], 0
-            if refs:
-                yield prefix_rows(ref=refs, node=nodes, n=sizes)
-        if trees:
-            yield from packed(trees, docs, base)
+                    yield from packed(sets, nodes, grp)
+                    sets, nodes, held, grp = [], [], 0, grp + 1
+        if sets:
+            yield from packed(sets, nodes, grp)
 
     return run
 
 
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of trees that have several, from ``(piece, payload)`` sorted by piece."""
-    for group in whole_groups(batches, ["piece"]):
-        at = starts(group, ["piece"])
-        payload = group.column("payload")
-        for lo, hi in zip(at, np.append(at[1:], group.num_rows), strict=True):
+def rarity(count: np.ndarray) -> np.ndarray:
+    """A byte that orders shingles by their number, roughly where it is large."""
+    return np.where(count < 128, count, 128 + np.minimum(127, 8 * np.log2(np.maximum(count, 128) / 128))).astype(np.int64)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ENTRIES sorted by key: those of trees that several sets have, by group, with a number of the tree and its rarity."""
+    for group in whole_groups(batches, ["key"]):
+        at = starts(group, ["key"])
+        payload, grps, keys = group.column("payload"), group.column("grp").to_numpy(), group.column("key").to_numpy()
+        for lo, hi in zip(at.tolist(), np.append(at[1:], group.num_rows).tolist(), strict=True):
+            if keys[lo] < 0:
+                yield entry_rows([(-1, int(grps[i]), payload[i].as_py()) for i in range(lo, hi)])
+                continue
             parts = [unpack_entries(payload[i].as_py()) for i in range(lo, hi)]
-            tree, ref = (np.concatenate(x) for x in zip(*parts, strict=True))
+            tree, doc, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            of = np.repeat(np.arange(lo, hi), [len(x[0]) for x in parts])
             order = np.argsort(tree, kind="stable")
-            tree = tree[order]
-            same = tree[1:] == tree[:-1]
-            keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            tree, ref = tree[keep], ref[order[keep]]
-            for x in range(0, len(tree), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(tree[x : x + (1 << 16)]), pa.array(ref[x : x + (1 << 16)])], names=["tree", "ref"])
+            first = np.flatnonzero(np.diff(tree[order], prepend=-1))
+            count, size = np.add.reduceat(times[order], first), np.diff(np.append(first, len(tree)))
+            shared = count > 1
+            number, rare = np.repeat(np.cumsum(shared) - 1, size), np.repeat(rarity(count), size)
+            keep = np.flatnonzero(np.repeat(shared, size))
+            if not len(keep):
+                continue
+            number, rare, doc, of = number[keep], rare[keep], doc[order[keep]], of[order[keep]]
+            by = np.argsort(grps[of], kind="stable")
+            number, rare, doc, g = number[by], rare[by], doc[by], grps[of[by]]
+            cut = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
+            rows = []
+            for x, y in zip(cut.tolist(), np.append(cut[1:], len(g)).tolist(), strict=True):
+                w, v = width_of(number[x:y]), width_of(doc[x:y])
+                rows.append((int(keys[lo]), int(g[x]), struct.pack("<IBB", y - x, w, v) + pack_bytes(number[x:y], w) + pack_bytes(rare[x:y], 1) + pack_bytes(doc[x:y], v)))
+            for x in range(0, len(rows), 200):
+                yield entry_rows(rows[x : x + 200])
+
 
+def chooser(t: Threshold):
+    """``(tree, node, n)`` of each document's prefix, from what ``counted`` gives, sorted by group and key."""
 
-def setter(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["grp"]):
+            at = starts(table, ["grp"])
+            payload, keys = table.column("payload"), table.column("key").to_numpy()
+            for lo, hi in zip(at.tolist(), np.append(at[1:], table.num_rows).tolist(), strict=True):
+                assert keys[lo] == -1
+                nodes, sizes, lists, members = unpack_group(payload[lo].as_py())
+                trees, rares, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in range(lo + 1, hi):
+                    blob = payload[i].as_py()
+                    size, w, v = struct.unpack_from("<IBB", blob)
+                    trees.append((keys[i] << 32) + unpack_bytes(blob, 6, size, w))
+                    rares.append(unpack_bytes(blob, 6 + size * w, size, 1))
+                    docs.append(unpack_bytes(blob, 6 + size * (w + 1), size, v))
+                tree, rare, doc = np.concatenate(trees), np.concatenate(rares), np.concatenate(docs)
+                many = doc >= len(nodes)
+                which = doc[many] - len(nodes)
+                begin = np.cumsum(lists) - lists
+                span = lists[which]
+                inside = np.repeat(begin[which] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+                tree, rare, doc = (np.concatenate((x[~many], y)) for x, y in ((tree, np.repeat(tree[many], span)), (rare, np.repeat(rare[many], span)), (doc, members[inside])))
+                alone = sizes - np.bincount(doc, minlength=len(nodes))
+                need = t.prefix(sizes) - alone
+                some = need[doc] > 0
+                tree, rare, doc = tree[some], rare[some], doc[some]
+                order = np.lexsort((tree, rare, doc))
+                tree, doc = tree[order], doc[order]
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                take = place < need[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(tree[take]), pa.array(nodes[doc[take]]), pa.array(sizes[doc[take]])], names=["tree", "node", "n"])
+
+    return run
+
+
+def setter(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         for batch in batches:
             sets = [doc_set(t, memo, k) for t in texts(batch)]
             node = batch.column(batch.schema.get_field_index("node"))
-            own = pa.array([len(s) > 0 and fingerprint(s) == x for s, x in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
+            own = pa.array([len(s) > 0 and fingerprint(s, seed) == x for s, x in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([node.filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)], names=["node", "words"])
 
     return run
@@ -283,12 +335,12 @@ def verifier(t: Threshold):
     return run
 
 
-def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, t: Threshold) -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, t: Threshold, seed: int) -> DataFrame:
     """The pairs of nodes whose whole sets reach the threshold. ``pairs(a, b)`` is written, without repeats."""
     involved = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "op4-involved")
     wanted = maybe_broadcast(involved.withColumnRenamed("doc_id", "_id"), BROADCAST_ROWS)
     # ids can repeat: only texts that have the node's set count; where several have it, links repeat, which changes nothing
-    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").mapInArrow(setter(k), "node long, words binary")
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").mapInArrow(setter(k, seed), "node long, words binary")
     sets = saved(sets, "op4-sets")
     # a node with many pairs is salted: its set is copied once for some MATES of them
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MATES).cast("int").alias("parts"))
@@ -407,38 +459,44 @@ def searcher(t: Threshold, only_nearest: bool):
     return run
 
 
+def sketched(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """The saved sketch, its nodes ``(node, doc_id, n)`` and the seed under which unlike sets have unlike fingerprints."""
+    for seed in range(8):
+        sketch = saved(docs.mapInArrow(sketcher(k, seed), SKETCH), "op4-sketch")
+        nodes = saved(sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), (F.min("other") != F.max("other")).alias("mixed")), "op4-nodes")
+        if nodes.where("mixed").isEmpty():
+            return sketch, nodes.drop("mixed"), seed
+    raise RuntimeError("fingerprints of unlike sets fall together")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``; links at similarity num/den or more."""
+    """``(doc_id, n_shingles, component_id, node, root)`` for each row of ``docs(doc_id, text)``; links at similarity num/den or more.
+
+    ``node`` names the set of shingles and ``root`` the component, by its smallest node; both are null without shingles.
+    """
     ship_package(docs.sparkSession)
     t, docs = Threshold(num, den), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    sketch = saved(docs.mapInArrow(sketcher(k), SKETCH), "op4-sketch")
-    rows = sketch.where("piece is null")
-    nodes = saved(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload")), "op4-nodes")
-    rare = spark.sparkContext.broadcast(bucket_table(sketch.where("piece is not null").select("piece", "payload")))
-
-    words, count = rows.agg(F.sum("n"), F.count("*")).first()
-    pieces = min(1 << 24, 1 + ((words or 0) * (den - num) // den + count) // PIECE_ENTRIES)
-    prefixes = saved(docs.mapInArrow(prefixer(k, t, rare, pieces), PREFIX), "op4-prefixes")
-    blobs = prefixes.where("piece is not null").select("piece", "payload")
-    hits = blobs.repartition(max(pieces, spark.sparkContext.defaultParallelism), "piece").sortWithinPartitions("piece").mapInArrow(met, "tree long, ref long")
-    hits = hits.union(prefixes.where("tree is not null").select("tree", "ref"))
-    # of equal sets one document stands for the node
-    refs = prefixes.where("node is not null").groupBy("node").agg(F.min(F.struct("ref", "n")).alias("r")).select("r.ref", "node", "r.n")
-    shared = saved(hits.join(refs, "ref").select("tree", "node", "n"), "op4-shared")
-    drop_saved(prefixes)
-
-    points = nodes.select("node", "n", "payload")
+    sketch, nodes, seed = sketched(docs, k)
+    words = nodes.agg(F.sum("n")).first()[0] or 0
+    pieces = min(1 << 24, 1 + words // PIECE_ENTRIES)
+    tasks = max(pieces, spark.sparkContext.defaultParallelism)
+    dealt = docs.mapInArrow(dealer(k, seed, pieces), ENTRIES).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(counted, ENTRIES)
+    own = dealt.repartition(tasks, "grp").sortWithinPartitions("grp", "key").mapInArrow(chooser(t), "tree long, node long, n long")
+    shared = saved(own.distinct(), "op4-shared")
+
     # one node of each tree is compared with all others there, and leaves the tree
-    hubs = shared.groupBy("tree").agg(F.min(F.struct("node", "n")).alias("hub")).select("tree", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = shared.groupBy("tree").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("most")).where("hub.node <> most").select("tree", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     starred = saved(shared.join(hubs, "tree").where("node <> hub"), "op4-starred")
+    met = starred.select("node").union(starred.select("hub")).distinct()
+    points = saved(sketch.select("node", "n", "payload").join(met, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "op4-points")
     star = starred.where(f"{den} * cast(least(n, hub_n) as long) >= {num} * cast(greatest(n, hub_n) as long)").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     star = star.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("payload").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("payload").alias("pb")), "b")
     pairs = saved(star.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded(t), "a long, b long"), "op4-star")
     links, known, left = [], None, starred.select("tree", "node", "n")
     for turn in range(NEAREST + 2):
         if not pairs.isEmpty():
-            links.append(saved(verify(docs, nodes, pairs, k, t), "op4-links"))
+            links.append(saved(verify(docs, nodes, pairs, k, t, seed), "op4-links"))
             known = connected_components(reduce(DataFrame.union, links), "op4-cc")
         if turn == NEAREST + 1:
             break
@@ -459,9 +517,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     roots = nodes.select("node", "doc_id", F.col("node").alias("root")) if known is None else nodes.select("node", "doc_id").join(known, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     roots = saved(roots, "op4-roots")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = saved(roots.join(least, "root").select("node", "component_id"), "op4-named")
-    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = saved(roots.join(least, "root").select("node", "component_id", "root"), "op4-named")
+    return sketch.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "root")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
