@@ -1,26 +1,31 @@
 """Operator 8: masked pseudo-likelihood by a bidirectional window network.
 
 The network predicts every token from two tokens on each side: position-wise embeddings of the four neighbours are
-summed, passed through tanh, and a two-step softmax (a class of 64 words, then the word inside it) gives the conditional
-probability. A document's score is the sum of its tokens' conditional log-probabilities; the mean is comparable between
-lengths.
+summed, passed through tanh, and a softmax in three steps down a tree of tokens (16 ways each) gives the
+conditional probability. A document's score is the sum of its tokens' conditional log-probabilities; the mean is
+comparable between lengths.
 
 What it learns from the corpus grows with it: words are counted over all documents by a grouped aggregation, of
-which the 3,072 most frequent get tokens of their own (others share 1,024 tokens by hash), and the network is trained in
-numpy where the data lie, by parameter averaging: in each of two rounds every task takes its share of the positions of
-each of its documents (every second one, the others in the other round, so that every position of every document is
-trained on once) through mini-batch gradient steps from the common parameters, and the results are averaged weighted
-by positions, added up before and after a shuffle by slices of the parameters. The driver only gets the average, of a
-fixed size (about 200,000 numbers), and broadcasts it.
+which the 3,072 most frequent get tokens of their own. The others share 1,024 tokens by hash; the probability of such a
+token is shared evenly by the distinct words that the whole corpus has in it. Texts are turned into tokens once
+and saved. The network is trained in numpy where they lie, by parameter averaging: in each of two rounds every task takes
+its share of the positions of each of its documents (every second one, the others in the other round, so that every
+position of every document is trained on once) through mini-batch gradient steps from the common parameters, and the
+results are averaged weighted by positions, added up before and after a shuffle by slices of the parameters. The driver
+only gets the average, of a fixed size (some 330,000 numbers), and broadcasts it. The model, and with it each score, thus
+depends somewhat on how the rows are dealt to tasks.
 
 Null and empty texts have no tokens; their score is 0 and their mean null. Neighbours beyond a text's ends are a token of
-their own. Repeated rows are scored alike and count in training as often as they occur.
+their own. Repeated rows are scored alike and count in training as often as they occur. Long texts are scored in pieces
+that see their neighbours' tokens, so that only their tokens are held whole. Extra columns are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ship_package, table, texts
+from waymark.llm.common import drop_saved, saved, ship_package, table, texts
 
-CLASSES, SIZE, OWN = 64, 64, 3072  # classes x words in each; the first words by frequency have tokens of their own
-WORDS = CLASSES * SIZE
+WORDS, OWN = 16 * 16 * 16, 3072  # tokens, of which the first are words of their own
+SHARED = WORDS - OWN
 PAD = WORDS
 DIM, SIDES = 16, (-2, -1, 1, 2)
 ROUNDS, STEP, RATE = 2, 512, 0.15
 SLICES = 16
 FLUSH = 200_000  # distinct words that a task counts before it hands them on
-SHAPES = {"emb": (len(SIDES), WORDS + 1, DIM), "wc": (DIM, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, DIM, SIZE), "bo": (CLASSES, SIZE)}
+SHORT = 8  # rows of a branch in a mini-batch up to which branches are stepped together
+PIECE = 50_000  # tokens that are scored at once
+HASH_SEED = 42  # as in the SQL function xxhash64
+SHAPES = {"emb": (len(SIDES) * (WORDS + 1), DIM), "w0": (DIM, 16), "b0": (16,), "w1": (16, DIM, 16), "b1": (16, 16), "w2": (256, DIM, 16), "b2": (256, 16)}
+SIDE_AT = np.arange(len(SIDES)) * (WORDS + 1)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,74 +74,83 @@ class Tokens(dict):
         if len(self) > 300_000:
             self.clear()
             self.update((x, i) for i, x in enumerate(self.words))
-        x = self[w] = OWN + xxhash.xxh64_intdigest(w) % (WORDS - OWN)
+        x = self[w] = OWN + xxhash.xxh64_intdigest(w, HASH_SEED) % SHARED
         return x
 
     def of(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    counts = docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, and how many other distinct words share each further token."""
+    counts = saved(docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "op8-words")
+    words = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    kinds = np.zeros(SHARED, np.int64)
+    for r in counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(SHARED)).alias("at")).count().collect():  # a row for each shared token
+        kinds[r["at"]] = r["count"]
+    for w in words:
+        kinds[xxhash.xxh64_intdigest(w, HASH_SEED) % SHARED] -= 1
+    drop_saved(counts)
+    return words, np.maximum(kinds, 1)
 
 
 def start() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(5)
-    return {k: (rng.normal(0, 0.1, s) if k in ("emb", "wc", "wo") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (np.zeros(s) if k[0] == "b" else rng.normal(0, 0.1, s)).astype(np.float32) for k, s in SHAPES.items()}
+
+
+def line_of(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in one line with two pads before, between and behind them, and where each begins."""
+    pad = np.full(2, PAD, np.int16)
+    return np.concatenate([pad, *(x for t in tokens for x in (t, pad))]), np.cumsum([2] + [len(t) + 2 for t in tokens[:-1]])
 
 
 def contexts(tokens: list[np.ndarray], first: int = 0, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Centres and neighbours (n x 4) of the positions of several documents, or of one in ``stride`` of each from its ``first``."""
-    pad = np.full(2, PAD, np.int32)
-    line = np.concatenate([x for t in tokens for x in (t, pad)] + [pad]) if tokens else pad
-    line = np.concatenate((pad, line))
-    at = np.concatenate([np.arange(first, len(t), stride) + lo for t, lo in zip(tokens, np.cumsum([2] + [len(t) + 2 for t in tokens[:-1]]), strict=True)]) if tokens else np.zeros(0, np.int64)
+    line, begin = line_of(tokens)
+    at = np.concatenate([np.arange(first, len(t), stride) + lo for t, lo in zip(tokens, begin, strict=True)]) if tokens else np.zeros(0, np.int64)
     return line[at], np.stack([line[at + d] for d in SIDES], axis=1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x = np.exp(np.clip(x, -60, 60, out=x), out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def hidden(p: dict, near: np.ndarray) -> np.ndarray:
-    h = p["emb"][0][near[:, 0]]
+    at = near + SIDE_AT
+    h = p["emb"][at[:, 0]]
     for s in range(1, len(SIDES)):
-        h = h + p["emb"][s][near[:, s]]
-    return np.tanh(h)
-
+        h += p["emb"][at[:, s]]
+    return np.tanh(h, out=h)
 
-def by_class(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts rows of a class together, and where each class starts."""
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    return order, np.searchsorted(c[order], np.arange(CLASSES + 1))
 
-
-def log_sums(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    x = np.exp(x - top)
-    return np.log(x.sum(axis=1)) + top[:, 0]
+def log_share(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Log-softmax of one column of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    got = x[np.arange(len(x)), pick]
+    return got - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def log_probs(p: dict, centre: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Conditional log-probability of each centre."""
+    """Conditional log-probability of each centre's token."""
     if not len(centre):
         return np.zeros(0)
-    order, edges = by_class(centre // SIZE)
-    c, w, h = (centre // SIZE)[order], (centre % SIZE)[order], hidden(p, near[order])
-    got = np.empty(len(c))
-    for lo in range(0, len(c), 4096):  # pieces that stay in the processor's cache
+    order = np.argsort(centre, kind="stable")
+    t, h = centre[order].astype(np.int64), hidden(p, near[order])
+    got = np.empty(len(t))
+    for lo in range(0, len(t), 4096):  # pieces that stay in the processor's cache
         r = slice(lo, lo + 4096)
-        x = h[r] @ p["wc"] + p["bc"]
-        got[r] = x[np.arange(len(x)), c[r]] - log_sums(x)
-    for k in range(CLASSES):
-        for lo in range(edges[k], edges[k + 1], 4096):
-            r = slice(lo, min(lo + 4096, edges[k + 1]))
-            y = h[r] @ p["wo"][k] + p["bo"][k]
-            got[r] += y[np.arange(len(y)), w[r]] - log_sums(y)
-    out = np.empty(len(c))
+        got[r] = log_share(h[r] @ p["w0"] + p["b0"], t[r] >> 8)
+    for w, b, shift in (("w1", "b1", 8), ("w2", "b2", 4)):
+        edges = np.searchsorted(t >> shift, np.arange(len(p[w]) + 1)).tolist()
+        for k, (x, y) in enumerate(pairwise(edges)):
+            for lo in range(x, y, 4096):
+                r = slice(lo, min(lo + 4096, y))
+                got[r] += log_share(h[r] @ p[w][k] + p[b][k], t[r] >> shift - 4 & 15)
+    out = np.empty(len(t))
     out[order] = got
     return out
 
@@ -140,35 +158,45 @@ def log_probs(p: dict, centre: np.ndarray, near: np.ndarray) -> np.ndarray:
 def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One gradient step on a mini-batch, in place."""
     n = len(centre)
-    order, edges = by_class(centre // SIZE)
-    c, w, near = (centre // SIZE)[order], (centre % SIZE)[order], near[order]
+    order = np.argsort(centre, kind="stable")
+    t, near = centre[order].astype(np.int64), near[order]
+    rows = np.arange(n)
     h = hidden(p, near)
-    g = softmax(h @ p["wc"] + p["bc"])
-    g[np.arange(n), c] -= 1
-    dh = g @ p["wc"].T
-    p["wc"] -= rate / n * (h.T @ g)
-    p["bc"] -= rate / n * g.sum(axis=0)
-    there = np.flatnonzero(edges[1:] > edges[:-1])
-    y = np.empty((n, SIZE), np.float32)
-    for k in there:
-        r = slice(edges[k], edges[k + 1])
-        np.matmul(h[r], p["wo"][k], out=y[r])
-    y = softmax(y + p["bo"][c])
-    y[np.arange(n), w] -= 1
-    m = (rate / np.maximum(16, np.diff(edges))).astype(np.float32)
-    for k in there:
-        r = slice(edges[k], edges[k + 1])
-        dh[r] += y[r] @ p["wo"][k].T
-        p["wo"][k] -= m[k] * (h[r].T @ y[r])
-    p["bo"][there] -= m[there, None] * np.add.reduceat(y, edges[there], axis=0)
-    dx = (dh * (1 - h * h)).astype(np.float32)
-    for s in range(len(SIDES)):
-        # the steps of each neighbour by the root of their number, so that frequent words don't overshoot
-        order = np.argsort(near[:, s].astype(np.int16), kind="stable")
-        at = near[order, s]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        times = np.diff(np.append(first, n))
-        p["emb"][s][at[first]] -= rate * np.add.reduceat(dx[order], first, axis=0) / np.sqrt(times)[:, None].astype(np.float32) / 4
+    g = softmax(h @ p["w0"] + p["b0"])
+    g[rows, t >> 8] -= 1
+    dh = g @ p["w0"].T
+    p["w0"] -= rate / n * (h.T @ g)
+    p["b0"] -= rate / n * g.sum(axis=0)
+    for w, b, branch, pick in (("w1", "b1", t >> 8, t >> 4 & 15), ("w2", "b2", t >> 4, t & 15)):
+        own = p[w][branch]
+        g = softmax(np.matmul(h[:, None, :], own)[:, 0] + p[b][branch])
+        g[rows, pick] -= 1
+        dh += np.matmul(own, g[:, :, None])[:, :, 0]
+        descend(p[w], p[b], branch, h, g, rate)
+    dx = dh * (1 - h * h)
+    # the steps of each neighbour by the root of their number, so that frequent words don't overshoot
+    at = (near + SIDE_AT).ravel()
+    order = np.argsort(at.astype(np.uint16) if SIDE_AT[-1] + WORDS < 1 << 16 else at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    times = np.diff(np.append(first, len(at)))
+    p["emb"][at[first]] -= (rate / 4 / np.sqrt(times)).astype(np.float32)[:, None] * np.add.reduceat(dx[order // len(SIDES)], first, axis=0)
+
+
+def descend(w: np.ndarray, b: np.ndarray, branch: np.ndarray, h: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """Each branch's step against the mean of its rows (of sixteen at least): long runs of rows one by one, short ones all at once."""
+    first = np.flatnonzero(np.diff(branch, prepend=-1))
+    size = np.diff(np.append(first, len(branch)))
+    m = (rate / np.maximum(16, size)).astype(np.float32)
+    long = size > SHORT
+    for lo, n, k, x in zip(first[long].tolist(), size[long].tolist(), branch[first[long]].tolist(), m[long], strict=True):
+        w[k] -= x * (h[lo : lo + n].T @ g[lo : lo + n])
+    few = np.flatnonzero(~long)
+    at = first[few][:, None] + np.arange(SHORT)
+    scale = np.where(np.arange(SHORT) < size[few][:, None], m[few][:, None], np.float32(0))
+    at = np.minimum(at, len(branch) - 1)
+    w[branch[first[few]]] -= np.matmul((h[at] * scale[:, :, None]).transpose(0, 2, 1), g[at])
+    b[branch[first]] -= m[:, None] * np.add.reduceat(g, first, axis=0)
 
 
 def packed(p: dict) -> np.ndarray:
@@ -189,28 +217,46 @@ def _slices(total: np.ndarray, weight: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary()), pa.array([float(weight)] * SLICES)], names=["slice", "payload", "weight"])
 
 
+def tokenised(batch: pa.RecordBatch, tokens: Tokens | None) -> Iterator[np.ndarray]:
+    """Tokens of a batch's rows, from texts or from tokens that are saved already."""
+    if "text" in batch.schema.names:
+        yield from (tokens.of(x) for x in texts(batch))
+    else:
+        yield from (np.frombuffer(x, np.int16) for x in batch.column(batch.schema.get_field_index("tokens")).to_pylist())
+
+
+def _tokens(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(held.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in tokenised(batch, tokens)], pa.binary())], names=["doc_id", "tokens"])
+
+    return run
+
+
 def _trained(held, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = held.value
-        tokens, p, seen, kept = Tokens(words), unpacked(flat), 0, []
+        tokens, p, seen, kept, waiting, size = Tokens(words), unpacked(flat), 0, [], [], 0
 
         def steps(last: bool) -> None:
-            nonlocal seen, kept
+            nonlocal seen, kept, waiting, size
+            kept.append(contexts(waiting, turn, rounds))
             centre, near = (np.concatenate(x) for x in zip(*kept, strict=True))
             whole = len(centre) if last else len(centre) - len(centre) % STEP
             for lo in range(0, whole, STEP):
                 step(p, centre[lo : lo + STEP], near[lo : lo + STEP], RATE)
             seen += whole
-            kept = [(centre[whole:], near[whole:])]
+            kept, waiting, size = [(centre[whole:], near[whole:])], [], 0
 
         for batch in batches:
-            body = texts(batch)
-            for lo in range(0, len(body), 100):
-                kept.append(contexts([t for t in (tokens.of(x) for x in body[lo : lo + 100]) if len(t)], turn, rounds))
-                if sum(len(c) for c, _ in kept) >= 8 * STEP:
-                    steps(False)
-        if kept:
-            steps(True)
+            for t in tokenised(batch, tokens):
+                if len(t):
+                    waiting.append(t)
+                    size += len(t)
+                    if size >= 40 * STEP:
+                        steps(False)
+        steps(True)
         yield _slices(packed(p) * np.float32(seen), seen)
 
     return run
@@ -226,51 +272,76 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x, _ in total.values()], pa.binary()), pa.array([w for _, w in total.values()])], names=["slice", "payload", "weight"])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """Words with tokens of their own, and the trained parameters; each position is trained on in one of the rounds."""
-    spark, schema = docs.sparkSession, "slice int, payload binary, weight double"
-    ship_package(spark)
-    words, flat = vocabulary(docs), packed(start())
+def tokens_of(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """``(doc_id, tokens)``, saved."""
+    return saved(docs.select("doc_id", "text").mapInArrow(_tokens(docs.sparkSession.sparkContext.broadcast(words)), "doc_id long, tokens binary"), "op8-tokens")
+
+
+def train_on(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The parameters that all positions of ``rows(tokens)`` give, each trained on in one of the rounds."""
+    spark, schema, flat = rows.sparkSession, "slice int, payload binary, weight double", packed(start())
     for turn in range(rounds):
-        held = spark.sparkContext.broadcast((words, flat))
-        rows = docs.select("text").mapInArrow(_trained(held, turn, rounds), schema).repartition(SLICES, "slice").mapInArrow(_added, schema).collect()
-        parts = {r.slice: np.frombuffer(r.payload, np.float32) / r.weight for r in rows if r.weight > 0}
+        held = spark.sparkContext.broadcast(([], flat))
+        got = rows.select("tokens").mapInArrow(_trained(held, turn, rounds), schema).repartition(SLICES, "slice").mapInArrow(_added, schema).collect()
+        parts = {r.slice: np.frombuffer(r.payload, np.float32) / r.weight for r in got if r.weight > 0}
         if len(parts) < SLICES:
             break
         flat = np.concatenate([parts[k] for k in range(SLICES)])
-    return words, flat
+    return flat
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words with tokens of their own, the numbers of words that share the others, and the trained parameters."""
+    ship_package(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words, kinds = vocabulary(docs)
+    rows = tokens_of(docs, words)
+    flat = train_on(rows, rounds)
+    drop_saved(rows)
+    return words, kinds, flat
 
 
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = held.value
-        tokens, p = Tokens(words), unpacked(flat)
+        kinds, flat = held.value
+        p, alike = unpacked(flat), np.concatenate((np.zeros(OWN), np.log(kinds)))
+
+        def score(part: list[np.ndarray]) -> list[float]:
+            line, begin = line_of(part)
+            at = np.flatnonzero(line != PAD)
+            sums = np.zeros(len(part))
+            for lo in range(0, len(at), PIECE):
+                x = at[lo : lo + PIECE]
+                c = line[x]
+                logs = log_probs(p, c, np.stack([line[x + d] for d in SIDES], axis=1)) - alike[c]
+                sums += np.bincount(np.searchsorted(begin, x, side="right") - 1, logs, len(part))
+            return sums.tolist()
+
         for batch in batches:
-            body, sums, sizes = texts(batch), [], []
-            lo = 0
-            while lo < len(body):  # some 50,000 tokens at once
-                part, n = [], 0
-                while lo < len(body) and n < 50_000:
-                    part.append(tokens.of(body[lo]))
-                    n += len(part[-1])
-                    lo += 1
-                logs = log_probs(p, *contexts(part)) if n else np.zeros(0)
-                ends = np.cumsum([len(t) for t in part])
-                run_ = np.concatenate(([0.0], np.cumsum(logs)))
-                sums += (run_[ends] - run_[ends - [len(t) for t in part]]).tolist()
-                sizes += [len(t) for t in part]
+            sums, sizes, part, held_ = [], [], [], 0
+            for t in tokenised(batch, None):
+                part.append(t)
+                sizes.append(len(t))
+                held_ += len(t)
+                if held_ >= PIECE:
+                    sums += score(part)
+                    part, held_ = [], 0
+            if part:
+                sums += score(part)
             means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
 
     return run
 
 
-def score_documents(docs: DataFrame, model: tuple[list[bytes], np.ndarray] | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability)`` for each row of ``docs(doc_id, text)``."""
+def score_documents(docs: DataFrame, model: tuple[list[bytes], np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability)`` for each row of ``docs(doc_id, text)``; without a model, by one of these documents."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    return docs.mapInArrow(_scored(held), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    words, kinds = model[:2] if model else vocabulary(docs)
+    rows = tokens_of(docs, words)
+    held = docs.sparkSession.sparkContext.broadcast((kinds, model[2] if model else train_on(rows)))
+    return rows.mapInArrow(_scored(held), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
