@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import saved
+from waymark.llm.common import drop_saved, saved
 
 ROUNDS = 60
 
@@ -27,11 +27,14 @@ def connected_components(links: DataFrame, name: str = "cc") -> DataFrame:
     for _ in range(ROUNDS):
         if edges.isEmpty():
             return labels
-        hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        # pointer doubling: a node whose target points on follows it
-        hooks = saved(_followed(saved(_followed(saved(hooks, f"{name}-hooks")), f"{name}-hooks")), f"{name}-hooks")
-        labels = saved(_mapped(labels, hooks, "root"), f"{name}-labels")
-        edges = saved(_mapped(_mapped(edges, hooks, "a"), hooks, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+        hooks = [saved(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), f"{name}-hooks")]
+        for _ in range(2):  # pointer doubling: a node whose target points on follows it
+            hooks.append(saved(_followed(hooks[-1]), f"{name}-hooks"))
+        old, hooks_ = (labels, edges, *hooks), hooks[-1]
+        labels = saved(_mapped(labels, hooks_, "root"), f"{name}-labels")
+        edges = saved(_mapped(_mapped(edges, hooks_, "a"), hooks_, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+        for df in old:
+            drop_saved(df)
     raise RuntimeError("components did not settle")
 
 

@@ -13,7 +13,7 @@ that falls short by more is none, and only those between are recomputed in doubl
 A tile gives each class the number of rows that it is linked to there, and the smallest class of its part of the
 tile's link graph, so that a group of near copies yields a row a class and not its pairs.
 
-Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label, link with
+Components are scaled by powers of two first, so that no square under- or overflows. Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label, link with
 nothing. Vectors of different lengths don't link. Repeated rows count as vectors of their own.
 """
 
@@ -30,7 +30,8 @@ from waymark.llm.common import saved, ship_package, starts, table, whole_groups
 from waymark.llm.components import connected_components
 
 THRESHOLD = 0.93
-BLOCK = 1024  # classes in a block, on average
+BLOCK = 4096  # classes in a block, on average: each vector is copied once for every block of its label
+ROWS = 512  # rows of a tile that are compared at once
 SLACK = 1e-9  # above any rounding of the bounds themselves
 
 
@@ -44,20 +45,25 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """The boolean matrix of cosine(a_i, b_j) >= threshold in double precision."""
+    # by powers of two, which change no digit: squares of very large or small components stay in range
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (a, b))
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ua, ub = a / na[:, None], b / nb[:, None]
     qa, sa, ea, la = quantise(ua)
     qb, sb, eb, lb = quantise(ub)
     kind = np.float32 if a.shape[1] <= 1040 else np.float64
-    about = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64) * sa[:, None] * sb[None, :]
-    bound = ea[:, None] * lb[None, :] + (1 + SLACK) * eb[None, :] + SLACK
-    links = about - bound >= threshold
-    i, j = np.nonzero((about + bound >= threshold) & ~links)
-    for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        exact = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y])
-        hit = exact >= threshold
-        links[x[hit], y[hit]] = True
+    links, right = np.zeros((len(a), len(b)), bool), np.ascontiguousarray(qb.astype(kind).T)
+    for lo in range(0, len(a), ROWS):
+        r = slice(lo, lo + ROWS)
+        about = (qa[r].astype(kind) @ right).astype(np.float64) * sa[r, None] * sb[None, :]
+        bound = ea[r, None] * lb[None, :] + (1 + SLACK) * eb[None, :] + SLACK
+        links[r] = about - bound >= threshold
+        i, j = np.nonzero((about + bound >= threshold) & ~links[r])
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)] + lo, j[at : at + (1 << 16)]
+            exact = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y])
+            hit = exact >= threshold
+            links[x[hit], y[hit]] = True
     return links
 
 
@@ -66,8 +72,11 @@ def tile_roots(links: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[n
     big = np.iinfo(np.int64).max
     rows, cols = own.copy(), other.copy()
     while True:
-        new_rows = np.minimum(rows, np.where(links, cols[None, :], big).min(axis=1))
-        new_cols = np.minimum(cols, np.where(links, new_rows[:, None], big).min(axis=0))
+        new_rows, new_cols = rows.copy(), cols.copy()
+        for lo in range(0, len(rows), ROWS):
+            r = slice(lo, lo + ROWS)
+            new_rows[r] = np.minimum(rows[r], np.where(links[r], new_cols[None, :], big).min(axis=1))
+            new_cols = np.minimum(new_cols, np.where(links[r], new_rows[r, None], big).min(axis=0))
         if (new_rows == rows).all() and (new_cols == cols).all():
             return rows, cols
         rows, cols = new_rows, new_cols
@@ -107,18 +116,18 @@ def tiler(threshold: float):
 def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the vector as float64 bytes; null where it can link with nothing."""
     for batch in batches:
-        out = []
-        labels = batch.column(1).to_pylist()
-        column = batch.column(2)
-        for i in range(batch.num_rows):
-            v = column[i]
-            vec = None
-            if labels[i] is not None and v.is_valid and len(v.values) and not v.values.null_count:
-                x = v.values.to_numpy().astype(np.float64)
-                if np.isfinite(x).all() and x.any() and np.isfinite(n := np.dot(x, x)) and n > 0:
-                    vec = x.tobytes()
-            out.append(vec)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
+        n, column, label = batch.num_rows, batch.column(2), batch.column(1)
+        flat = column.flatten()  # of the rows that are not null
+        size = np.zeros(n, np.int64)
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        size[there] = np.asarray(column.drop_null().value_lengths(), np.int64) if there.any() else 0
+        ends = np.cumsum(size)
+        x = np.ascontiguousarray(flat.fill_null(np.nan).to_numpy(zero_copy_only=False), np.float64)
+        row = np.repeat(np.arange(n), size)
+        good = there & label.is_valid().to_numpy(zero_copy_only=False) & (np.bincount(row[~np.isfinite(x)], minlength=n) == 0) & (np.bincount(row[x != 0], minlength=n) > 0)
+        x = np.where(x == 0, 0.0, x)  # one zero
+        out = [x[e - k : e].tobytes() if g else None for g, e, k in zip(good.tolist(), ends.tolist(), size.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), label, pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -128,10 +137,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = saved(rows.mapInArrow(usable, f"vec_id long, label {label}, vec binary"), "op10-rows")
     good = rows.where("vec is not null")
-    # a class is named by a hash of its label and vector; its smallest vec_id names it in the result
-    named = good.withColumn("node", F.xxhash64("label", "vec"))
-    classes = named.groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    classes = saved(classes.withColumn("grp", F.xxhash64("label", F.length("vec"))), "op10-classes")
+    # a class is named by a hash of its label and vector, and grouped by these; its smallest vec_id names it in the result
+    for seed in range(8):
+        name = F.xxhash64(F.lit(seed), "label", "vec")
+        classes = good.groupBy(name.alias("node"), "label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"))
+        classes = saved(classes.withColumn("grp", F.xxhash64("label", F.length("vec"))), "op10-classes")
+        if classes.groupBy("node").count().where("count > 1").isEmpty():  # else two unlike vectors have one hash
+            break
     sizes = classes.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     work = classes.join(sizes, "grp").withColumn("own", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     work = work.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "times", (F.col("own") > F.col("other")).cast("int").alias("side"), "vec")
@@ -142,7 +154,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     roots = saved(roots, "op10-roots")
     least = roots.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     by_class = saved(roots.join(least, "root").select("node", "n_links", "component_id"), "op10-by-class")
-    out = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec"))).join(by_class, "node", "left")
+    out = rows.withColumn("node", F.when(F.col("vec").isNotNull(), name)).join(by_class, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

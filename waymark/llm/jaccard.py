@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.llm.common import WordHash, maybe_broadcast, mix, saved, ship_package, shingle_hashes, small_enough, starts, table, texts, whole_groups, word_hashes
 from waymark.llm.components import connected_components
@@ -470,9 +471,9 @@ def sketched(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, node, root)`` for each row of ``docs(doc_id, text)``; links at similarity num/den or more.
+    """``(doc_id, n_shingles, component_id, node, root, seed)`` for each row of ``docs(doc_id, text)``; links at similarity num/den or more.
 
-    ``node`` names the set of shingles and ``root`` the component, by its smallest node; both are null without shingles.
+    ``node`` names the set of shingles, under the seed of its hash, and ``root`` the component, by its smallest node; both are null without shingles.
     """
     ship_package(docs.sparkSession)
     t, docs = Threshold(num, den), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -518,7 +519,47 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     roots = saved(roots, "op4-roots")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = saved(roots.join(least, "root").select("node", "component_id", "root"), "op4-named")
-    return sketch.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "root")
+    return sketch.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "root", F.lit(seed).alias("seed"))
+
+
+def named_sets(k: int, seed: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for batch in batches:
+            sets = (doc_set(t, memo, k) for t in batch.column(text_at).cast(pa.binary()).to_pylist())
+            nodes = pa.array([fingerprint(s, seed) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without near copies: of each component the row with the smallest doc_id stays,
+    null last. Rows are judged each by its own text, also where ids repeat or are null; of rows that share id and
+    shingles one stays. Rows without shingles stay, but of such rows that are equal in all columns one."""
+    spark, columns = docs.sparkSession, docs.columns
+    groups = saved(jaccard_components(docs, k, num, den), "near-groups")
+    seed = int(groups.first().seed) if not groups.isEmpty() else 0
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("keeper")
+    roots = saved(groups.where("root is not null").groupBy("root").agg(keeper, F.count("*").alias("size")).select("root", F.col("keeper.doc_id").alias("id"), F.col("keeper.node").alias("first"), "size"), "near-roots")
+    twice = groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    twice = saved(twice, "near-twice")
+    # ids that name one row: those of copies go, and no text is shuffled while they are few enough
+    gone = groups.join(roots.where("size > 1"), "root").where("doc_id is not null and not (doc_id <=> id and node = first)").select("doc_id").distinct()
+    gone = saved(gone.union(twice.where("doc_id is not null")), "near-gone")
+    kept = docs.join(maybe_broadcast(gone, BROADCAST_ROWS), "doc_id", "left_anti").where("doc_id is not null").select(*columns)
+    if twice.isEmpty():
+        return kept
+    # ids that name several rows or none: by id and set
+    some = maybe_broadcast(twice.withColumnRenamed("doc_id", "_id"), BROADCAST_ROWS)
+    rows = docs.join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_node", T.LongType())])
+    rows = rows.mapInArrow(named_sets(k, seed, columns.index("text")), schema)
+    first = roots.select(F.col("id").alias("_id"), F.col("first").alias("_first"))
+    first = rows.join(maybe_broadcast(saved(first, "near-first"), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_first")), "left_semi")
+    one = first.groupBy("doc_id", "_node").agg(F.min(F.struct(*(c for c in columns))).alias("row")).select("row.*")
+    bare = rows.where("_node is null").select(*columns).distinct()
+    return kept.union(one.select(*columns)).union(bare)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ship_package, table
+from waymark.llm.common import saved, ship_package, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenisation pattern of this vocabulary (fixed value).
@@ -29,22 +29,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 RANGE = 1024
 
 
-def encoder(path: str):
-    """A tiktoken encoding, made once in each Python worker."""
-    held = getattr(encoder, "held", {})
-    if path not in held:
-        import tiktoken
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def encoding(ranks: dict[bytes, int]):
+    import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        held[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encoder.held = held
-    return held[path]
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoder(path: str):
+    return encoding(ranks_of(path))
 
 
-def counter(path: str):
+def counter(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        key, ranks = held.value
+        if getattr(counter, "key", None) != key:  # an encoding is made once in each Python worker
+            counter.key, counter.made = key, encoding(ranks)
+        encode = counter.made.encode_ordinary
         total = np.zeros(1024, np.int64)
         for batch in batches:
             n = np.array([len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()], np.int64)
@@ -61,7 +66,9 @@ def counter(path: str):
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(length, n_docs)``, one row a length that occurs."""
     ship_package(docs.sparkSession)
-    return docs.select("text").mapInArrow(counter(vocabulary), "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    held = docs.sparkSession.sparkContext.broadcast((os.path.basename(vocabulary), ranks_of(vocabulary)))
+    counts = docs.select("text").mapInArrow(counter(held), "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return saved(counts, "op6-histogram")  # read several times: documents are encoded once
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:

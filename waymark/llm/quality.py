@@ -8,11 +8,13 @@ interactions have rank 8; a document is scored in time linear in its features by
     sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
 Training rows are labelled rows with crc32(doc_id as text) mod 3 not 1, at most ``SAMPLE`` of them (the documented
-bound; chosen by a hash of the id, and a broadcast of as many ids at most). Executors compute the sample's features; the
-driver gets no texts. All rows are scored in one scan without a shuffle.
+bound; those with the smallest hashes of their ids, and a broadcast of as many ids at most). Executors compute the sample's
+features; the driver gets no texts, but a few kilobytes a row of the sample (33 at most). All rows are scored in one scan without a shuffle.
 
 Nulls, empty texts and repeated rows are scored like any other (an empty text by its statistics alone). Without any
 labelled row every score is 0.5. Where an id has several labels, each is a training row. A null doc_id is not held out.
+Where a labelled id has several documents, each is a training row, beyond the bound if need be. Extra columns are not
+read, whatever their names. A score of exactly 0.5 is predicted as 1. A very long text is read whole, in one task.
 """
 
 from __future__ import annotations
@@ -124,14 +126,22 @@ class Machine:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as two bytes each, and the values of all other features: what the driver gets of a text of the sample is bounded by 2**15 bytes and a few."""
     memo = WordHash()
     for batch in batches:
-        idx, val = [], []
+        words, rest = [], []
         for t, n in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
             i, x = features(t, n, memo)
-            idx.append(i.tobytes())
-            val.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["y", "idx", "val"])
+            k = int(np.searchsorted(i, WORDS))
+            words.append(i[:k].astype(np.uint16).tobytes())
+            rest.append(i[k:].tobytes() + x[k:].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(words, pa.binary()), pa.array(rest, pa.binary())], names=["y", "words", "rest"])
+
+
+def _row(words: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values again."""
+    w, n = np.frombuffer(words, np.uint16).astype(np.int32), len(rest) // 2
+    return np.concatenate((w, np.frombuffer(rest[:n], np.int32))), np.concatenate((np.full(len(w), 1 / np.sqrt(max(1, len(w))), np.float32), np.frombuffer(rest[n:], np.float32)))
 
 
 def held_out(doc_id) -> F.Column:
@@ -145,12 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     total = known.count()
     if total == 0:
         return None
-    chosen = known if total <= sample else known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total * 0.97))
-    chosen = F.broadcast(chosen.limit(sample))  # the limit only guards the bound of what is broadcast
-    rows = docs.join(chosen, F.col("doc_id") == F.col("_id")).select("text", F.col("n_chars").cast("long").alias("n_chars"), "y")
-    got = rows.mapInArrow(_featured, "y int, idx binary, val binary").limit(2 * sample).collect()
-    rows = sorted((bytes(r.idx), bytes(r.val), r.y) for r in got)  # partitions don't change the model
-    return Machine().fit([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for i, x, y in rows]) if rows else None
+    chosen = known if total <= sample else known.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
+    docs = docs.select(F.col("doc_id").alias("_doc"), "text", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "n_chars", "y")
+    got = rows.mapInArrow(_featured, "y int, words binary, rest binary").collect()
+    rows = sorted((bytes(r.words), bytes(r.rest), r.y) for r in got)  # partitions don't change the model
+    return Machine().fit([(*_row(w, x), y) for w, x, y in rows]) if rows else None
 
 
 def scorer(model, keep: list[str]):
