@@ -1,17 +1,18 @@
 """The corpus pipeline: quality, near duplicates, benchmark passages, secrets, pieces.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
-read again as the next one's docs. Empty tables pass through; null texts are handled as the operators state.
+read again as the next one's docs; the tables between are deleted when the last is written. Empty tables pass through; null
+texts are handled as the operators state; columns that documents do not have are left out. Ids may repeat or be null: rows
+are judged by their texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from waymark.llm.common import maybe_broadcast, saved, table
-from waymark.llm.contain import contained
-from waymark.llm.jaccard import BROADCAST_ROWS, jaccard_components
+from waymark.llm.common import drop_saved, saved, table
+from waymark.llm.contain import without_items
+from waymark.llm.jaccard import one_of_each
 from waymark.llm.pieces import encode_pieces
 from waymark.llm.quality import score_quality, train
 from waymark.llm.secrets import redact
@@ -28,21 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; of repeated rows, one."""
-    groups = saved(jaccard_components(docs, WORDS, NUM, DEN), "pipeline-groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()  # no texts are shuffled while these ids are few enough
-    again = saved(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-again")
-    kept = docs.select(*COLUMNS).join(maybe_broadcast(saved(gone, "pipeline-gone"), BROADCAST_ROWS), "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept.select(*COLUMNS)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    """One document of each group of near copies stays, the one with the smallest id; each row is judged by its own text."""
+    return one_of_each(docs.select(*COLUMNS), WORDS, NUM, DEN)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    hit = saved(contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return without_items(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "work_path"):
+            drop_saved(before)
     return docs
