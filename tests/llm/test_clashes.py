@@ -89,3 +89,27 @@ def test_containment_of_spread_and_tiny_items(spark):
             docs.append((100 + i, " ".join(f"{noise(60)} {' '.join(w[j : j + 5])}" for j in range(len(w) - 4))))
     got = {(r.doc_id, r.item_id) for r in contain.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got >= {(i, i) for i, _ in items} | {(100 + i, i) for i, t in items if len(t.split()) > 30}
+
+
+def test_many_languages_in_several_scans(spark, monkeypatch):
+    words = {"fil": "ang pusa ay nasa mesa", "fi": "kissa on pöydällä tänään", "fr": "le chat est sur la table", "de": "die katze ist auf dem tisch", "es": "el gato duerme en casa"}
+    known = spark.createDataFrame(list(words.items()), "lang string, text string")
+    pages = spark.createDataFrame([(1, "http://a.org/", "<html lang=fil-PH></html>"), (2, None, None)], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(words.values())], "doc_id long, text string, source string")
+    one = sorted(map(str, langid.identify(known, pages, docs).collect()))
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert sorted(map(str, langid.identify(known, pages, docs).collect())) == one
+    got = {r.doc_id: r for r in langid.identify(known, pages, docs).where("doc_id is not null").collect()}
+    assert [got[i].text_lang for i in range(5)] == list(words)
+    assert langid.identify(known, pages, docs).where("page_id = 1").first().lang == "fil"
+
+
+def test_listed_urls_and_levels(spark):
+    rows = [(i, f"http://H{i % 50}.org/a/{i}") for i in range(4000)]
+    listed = [f"h{i % 50}.ORG/a/{i}" for i in range(0, 4000, 5)] + ["h7.org", "", None, "/x"]
+    df, names = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(x,) for x in listed], "key string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, listed=names).collect()}
+    assert got == {i: "block" if i % 5 == 0 or i % 50 == 7 else "allow" for i in range(4000)}
+    universe = urls.universe_of(urls.parsed(df))
+    cascade = urls.build_cascade(names.where("key like '%/a/%'").select(F.lower("key").alias("key")), universe.where("not (key like '%/a/%' and cast(regexp_extract(key, '([0-9]+)$', 1) as int) % 5 = 0)"))
+    assert len(cascade.levels) > 2

@@ -4,7 +4,7 @@ Languages are those that ``documents.lang`` names. Evidence for a row (a page or
 
 * text: byte trigrams of the (tag-free, lower-cased) text, hashed to 2**15 buckets, under smoothed per-language
   trigram counts of all labelled documents; tempered, since neighbouring trigrams are not independent;
-* declared markup language (``<html lang=...>``, wherever the element starts) : P(declared | language), estimated by a grouped aggregation of
+* declared markup language, its primary subtag (``<html lang=...>``, wherever the element starts) : P(declared | language), estimated by a grouped aggregation of
   what pages declare against what their text says, with additive smoothing;
 * host: P(language | host), smoothed hierarchically by grouped aggregation: counts of a host are smoothed towards its
   registered domain's, those towards its address suffix's, those towards the corpus's, those towards uniform. A row's
@@ -12,7 +12,7 @@ Languages are those that ``documents.lang`` names. Evidence for a row (a page or
 
 The posterior is the normalised product. Count tables are small (a row a host, domain or suffix; a piece of fixed size a
 language and task, added up before it is dealt); the model that is broadcast has a fixed size for each language, and
-more than ``LANGUAGES`` languages are refused. Priors are joined by host; a host with a third of all rows
+more than ``LANGUAGES`` languages are scored in several scans, each by as many at most. Priors are joined by host; a host with a third of all rows
 is one key on the small side, and adaptive execution can split the large side.
 
 Nulls and empty texts give no text evidence (the prior and the declaration decide); a null url has no host. Unknown
@@ -53,7 +53,7 @@ def declaration(html: bytes) -> str | None:
         if m[2]:
             end = html.find(b">", at)
             if said := LANG.search(html, at, end if end >= 0 else len(html)):
-                return said[1].decode().lower()[:2]
+                return said[1].decode().lower()
             if end < 0:
                 return None
             at = end
@@ -83,13 +83,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
             if lang not in total:
                 if len(total) >= LANGUAGES:
-                    raise ValueError("more languages than the bound")
+                    yield _rows(total)
+                    total = {}
                 total[lang] = np.zeros(1 << BITS, np.int64)
             g = trigrams(text or b"")
             if len(g):
                 total[lang] += np.bincount(g, minlength=1 << BITS)
-    rows = [(k, i, x.tobytes()) for k, v in total.items() for i, x in enumerate(v.reshape(PIECES, -1))]
-    yield _table(rows)
+    yield _rows(total)
+
+
+def _rows(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return _table([(k, i, x.tobytes()) for k, v in total.items() for i, x in enumerate(v.reshape(PIECES, -1))])
 
 
 def _table(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
@@ -105,41 +109,49 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _table([(k, i, x.tobytes()) for (k, i), x in total.items()])
 
 
-def trigram_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities, languages x buckets, from ``labelled(lang, text)``; all rows count."""
+def trigram_models(labelled: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Languages in alphabetical order, ``LANGUAGES`` at once, and their log-probabilities, languages x buckets, from ``labelled(lang, text)``; all rows count."""
     ship_package(labelled.sparkSession)
     schema = "lang string, piece int, payload binary"
     counts = labelled.where("lang is not null").select("lang", "text").mapInArrow(_counted, schema)
-    rows = counts.repartition(PIECES * 4, "lang", "piece").mapInArrow(_summed, schema).collect()
-    langs = sorted({r.lang for r in rows})
-    if len(langs) > LANGUAGES:
-        raise ValueError("more languages than the bound")
-    if not langs:
-        return [], np.zeros((0, 1 << BITS), np.float32)
-    table_ = np.zeros((len(langs), PIECES, (1 << BITS) // PIECES))
-    for r in rows:
-        table_[langs.index(r.lang), r.piece] += np.frombuffer(r.payload, np.int64)
-    table_ = table_.reshape(len(langs), -1) + 0.1
-    return langs, np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32)
+    counts = saved(counts.repartition(PIECES * 4, "lang", "piece").mapInArrow(_summed, schema), "op1-trigrams")
+    every = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    for lo in range(0, len(every), LANGUAGES):
+        langs = every[lo : lo + LANGUAGES]
+        table_ = np.zeros((len(langs), PIECES, (1 << BITS) // PIECES))
+        for r in counts.where(F.col("lang").isin(langs)).collect():
+            table_[langs.index(r.lang), r.piece] += np.frombuffer(r.payload, np.int64)
+        table_ = table_.reshape(len(langs), -1) + 0.1
+        yield langs, np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def trigram_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All languages at once."""
+    parts = list(trigram_models(labelled))
+    return [k for langs, _ in parts for k in langs], np.concatenate([x for _, x in parts] or [np.zeros((0, 1 << BITS), np.float32)])
+
+
+EVIDENCE = "doc_id long, page_id long, host string, html boolean, n_grams long, declared string, likely array<double>, text string"
+
 
+def _evidence(held, first: bool):
+    """Adds the log-likelihoods under some languages, and in the first scan what the markup declares."""
 
-def _evidence(held, html: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logs = held.value
+        logs = held.value
         flat = np.ascontiguousarray(logs.T)  # buckets x languages
         for batch in batches:
-            likely, said, best = [], [], []
-            for t in texts(batch):
+            likely, said, grams = batch.column(6).to_pylist(), batch.column(5).to_pylist(), batch.column(4).to_pylist()
+            for i, (t, html) in enumerate(zip(texts(batch), batch.column(3).to_pylist(), strict=True)):
                 t = t or b""
-                said.append(declaration(t) if html else None)
+                if html and first:
+                    said[i] = declaration(t)
                 g = trigrams(visible(t) if html else t)
-                x = np.zeros(len(langs))
+                x = np.zeros(len(logs))
                 for lo in range(0, len(g), 1 << 16):
                     x += flat[g[lo : lo + (1 << 16)]].sum(axis=0, dtype=np.float64)
-                x *= TEMPER
-                likely.append((x - x.max()).tolist() if len(x) else [])
-                best.append(langs[int(np.argmax(x))] if len(g) and len(x) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(likely, pa.list_(pa.float64())), pa.array(best, pa.string())], names=[*batch.schema.names[:-1], "declared", "likely", "text_lang"])
+                likely[i], grams[i] = (likely[i] or []) + (x * TEMPER).tolist(), len(g)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.int64()), pa.array(said, pa.string()), pa.array(likely, pa.list_(pa.float64())), batch.column(7)], names=batch.schema.names)
 
     return run
 
@@ -186,21 +198,23 @@ def identify(labelled: DataFrame, pages: DataFrame, documents: DataFrame) -> Dat
     """Languages of ``pages(page_id, url, html)`` and ``documents(doc_id, text, source)``, learnt from ``labelled(lang, text)``."""
     spark = pages.sparkSession
     ship_package(spark)
-    langs, logs = trigram_model(labelled)
-    none = F.lit(None).cast("long")
-    a = parsed(pages.select("page_id", "url", "html")).select(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "host", F.col("html").alias("text"))
-    b = documents.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
+    none, unsaid = F.lit(None).cast("long"), [F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("string").alias("declared"), F.array().cast("array<double>").alias("likely")]
+    a = parsed(pages.select("page_id", "url", "html")).select(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.concat(F.lit("page:"), "host").alias("host"), F.lit(True).alias("html"), *unsaid, F.col("html").alias("text"))
+    b = documents.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.concat(F.lit("source:"), F.coalesce("source", F.lit(""))).alias("host"), F.lit(False).alias("html"), *unsaid, "text")
+    langs, rows = [], a.union(b)
+    for some, logs in trigram_models(labelled):
+        rows = rows.mapInArrow(_evidence(spark.sparkContext.broadcast(logs), not langs), EVIDENCE)
+        langs += some
     if not langs:
         return a.union(b).select("doc_id", "page_id", *(F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("posterior", "double"), ("declared", "string"), ("text_lang", "string"), ("host_prior", "double"))))
-    held = spark.sparkContext.broadcast((langs, logs))
-    schema = "doc_id long, page_id long, host string, declared string, likely array<double>, text_lang string"
-    rows = saved(a.mapInArrow(_evidence(held, True), schema).union(b.mapInArrow(_evidence(held, False), schema)), "op1-evidence")
+    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("likely", F.array_max("likely")).cast("int"))
+    rows = saved(rows.select("doc_id", "page_id", "host", "declared", "likely", F.when(F.col("n_grams") > 0, best).alias("text_lang")), "op1-evidence")
 
     # grouped aggregation: by host, and from hosts to domains to suffixes to the corpus
     counts = [F.sum(F.when(F.col("text_lang") == k, 1.0).otherwise(0.0)).alias(f"n{i}") for i, k in enumerate(langs)]
     hosts = rows.groupBy("host").agg(*counts, F.count("text_lang").alias("n_host"))
-    parts = F.split("host", r"\.")
-    hosts = hosts.withColumns({"domain": F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host")), "suffix": F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("")})
+    parts = F.split(F.expr("substring(host, instr(host, ':') + 1)"), r"\.")  # pages and documents have name spaces of their own
+    hosts = hosts.withColumns({"domain": F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.array_join(parts, ".")), "suffix": F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("")})
     hosts = saved(hosts.select("host", "domain", "suffix", "n_host", F.array(*(f"n{i}" for i in range(len(langs)))).alias("own")), "op1-hosts")
 
     def level(df: DataFrame, *keys: str) -> DataFrame:

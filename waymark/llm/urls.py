@@ -1,17 +1,18 @@
 """Operator 2: URL filters by longest rule and a Bloom filter cascade.
 
 Rules are (verdict, host, path prefix) and a rule fits its host and all subdomains; the longest rule string wins. Where no
-rule fits, a url is blocked if its host or a parent domain is on the list. The list is encoded over the corpus's complete
-key universe (all hosts and parent domains of its urls): level 1 holds the listed keys, level 2 those other keys that
+rule fits, a url is blocked if its host, a parent domain, or its host and path together are on the list. The list is encoded
+over the corpus's complete key universe (all hosts, parent domains and hosts with paths of its urls): level 1 holds the listed keys, level 2 those other keys that
 pass level 1, level 3 the listed keys that pass level 2, and so on until no key passes wrongly. A key's level parity then
 is its exact membership, so urls are judged in one scan with the filters at hand, without a join with the list.
 
-Levels are built from distinct keys by aggregating set bits into 64-bit words. The filters are broadcast; their total
+Levels are built from distinct keys by aggregating set bits into 64-bit words, and these into slices, where the keys
+lie. The filters are broadcast; their total
 size is checked against ``FILTER_BYTES``, and a longer list is encoded as several cascades, by a hash of the key, each
 of which is applied in a scan of its own.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is on no list: it is allowed. Keys are
-compared after lower-casing A-Z; empty and null listed keys are ignored. Repeated rows are judged alike.
+compared after lower-casing A-Z; empty and null listed keys are ignored. Repeated rows are judged alike. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from waymark.llm.common import saved, ship_package, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Domains to block where no rule fits; a parameter.
+#: Keys to block where no rule fits; a parameter. The query adds a sixteenth of the urls, by a hash, in place of a list of urls.
 LISTED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 FILTER_BYTES = 64 << 20
 HASHES, BITS_A_KEY = 4, 8
 LEVELS = 64
+SLICE = 4096  # 64-bit words that the driver gets in one piece
 
 
 @dataclass
@@ -64,6 +66,16 @@ def _bits_of(depth: int, bits: int):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        word, mask, at = (batch.column(i).to_numpy() for i in range(3))
+        for k in np.unique(at).tolist():
+            own = at == k
+            held.setdefault(k, np.zeros(SLICE, np.uint64))[word[own] - k * SLICE] |= mask[own].view(np.uint64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "words"])
+
+
 def _passing(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depth, (bits, words) = held.value
@@ -86,9 +98,11 @@ def build_cascade(listed: DataFrame, others: DataFrame, most_bytes: int = FILTER
         used += bits // 8
         if used > most_bytes:
             raise ValueError("the cascade passes its size bound; encode the list as more parts")
-        words = np.zeros(bits // 64, np.uint64)
-        for word, mask in inside.mapInArrow(_bits_of(depth, bits), "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).collect():
-            words[word] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+        words = np.zeros(-(-bits // 64 // SLICE) * SLICE, np.uint64)
+        masks = inside.mapInArrow(_bits_of(depth, bits), "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
+        slices = masks.withColumn("slice", F.expr(f"word div {SLICE}")).repartition(max(1, min(200, len(words) // SLICE)), "slice").mapInArrow(_slices, "slice long, words binary")
+        for at, part in slices.collect():
+            words[at * SLICE : (at + 1) * SLICE] |= np.frombuffer(part, np.uint64)
         levels.append((bits, words))
         held = spark.sparkContext.broadcast((depth, (bits, words)))
         inside, outside = saved(outside.mapInArrow(_passing(held), "key string"), "op2-pass"), inside
@@ -109,6 +123,12 @@ def keys_of(host: F.Column) -> F.Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
+def universe_of(rows: DataFrame) -> DataFrame:
+    """All distinct keys of ``rows(host, path)``; hosts first, so that few names are cut up."""
+    hosts = rows.select("host").where("host <> ''").distinct().select(F.explode(keys_of(F.col("host"))).alias("key"))
+    return hosts.union(rows.where("host <> '' and path <> ''").select(F.concat("host", "path"))).distinct()
+
+
 def by_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[F.Column, F.Column]:
     """The rule string and its verdict, null where none fits; longer rules are asked first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -123,14 +143,15 @@ def _judge(held, part: int, parts: int):
         cascade, memo = held.value, {}
         for batch in batches:
             out = []
-            for host, was in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for host, path, was in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 if host not in memo:
                     if len(memo) > 200_000:
                         memo.clear()
                     names = host.split(".")
                     keys = [".".join(names[i:]) for i in range(len(names))] if host else []
                     memo[host] = any(xxhash.xxh64_intdigest(k.encode()) % parts == part and cascade.listed(k) for k in keys)
-                out.append(was or memo[host])
+                url = host + path if host and path else None
+                out.append(was or memo[host] or (url is not None and xxhash.xxh64_intdigest(url.encode()) % parts == part and cascade.listed(url)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.bool_())], names=batch.schema.names)
 
     return run
@@ -148,9 +169,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     rule, verdict = by_rule(rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), F.lit(False).alias("listed"))
     names = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "key string")
-    names = names.select(F.translate("key", UPPER, LOWER).alias("key")).where("key <> ''").distinct()
-    hosts = rows.select("host").where("host <> ''").distinct()
-    universe = saved(hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct(), "op2-universe")
+    # the host of a key is compared in lower case, a path as it stands
+    cut = F.instr("key", "/")
+    names = names.select(F.when(cut > 0, F.concat(F.translate(F.expr("left(key, instr(key, '/') - 1)"), UPPER, LOWER), F.expr("substring(key, instr(key, '/'))"))).otherwise(F.translate("key", UPPER, LOWER)).alias("key")).where("key <> ''").distinct()
+    universe = saved(universe_of(rows), "op2-universe")
     inside = saved(universe.join(names, "key", "left_semi"), "op2-listed")
     if parts is None:  # the levels together take less than twice the first
         parts = max(1, -(-2 * BITS_A_KEY * max(inside.count(), 1) // 8 // (FILTER_BYTES // 2)))
@@ -168,7 +190,10 @@ def _of_part(part: int, parts: int) -> F.Column:
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    url = F.concat("host", "path")
+    urls = parsed(pages).where("host <> '' and path <> ''").where(F.md5(url).startswith("0")).select(url.alias("key"))
+    return filter_urls(pages, listed=urls.union(spark.createDataFrame([(x,) for x in LISTED], "key string")))
 
 
 _IN_LIST = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in LISTED)
@@ -176,7 +201,7 @@ OP2_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-ruled AS (SELECT *, ({_IN_LIST}) AS listed, CASE
+ruled AS (SELECT *, ({_IN_LIST} OR (host <> '' AND path <> '' AND starts_with(md5(host || path), '0'))) AS listed, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
