@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,22 +29,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the executors are threads of the driver."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package whatever their working folder is, and keep Arrow batches of whole texts small."""
+    """Let Python workers import this package, on a cluster from an archive that Spark sends to them, and keep Arrow batches of whole texts small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    env = spark.sparkContext.environment
+    context = spark.sparkContext
     for k, v in ALLOCATOR.items():
-        env.setdefault(k, v)
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+        context.environment.setdefault(k, v)
+    if is_local(spark):
+        path = context.environment.get("PYTHONPATH", "")
+        if ROOT not in path.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+    elif getattr(ship_package, "sent", None) != context.applicationId:
+        archive = Path(tempfile.mkdtemp(prefix="waymark-")) / "waymark_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((Path(ROOT) / "waymark").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        context.addPyFile(str(archive))
+        ship_package.sent = context.applicationId
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); where it is unset, a temporary one, in local mode only."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not told:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = tempfile.mkdtemp(prefix="waymark-")
