@@ -5,13 +5,13 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["voxel_downsample", "knn_cells_k3", "interp_value", "segment_pairs", "rate_ema", "graph_degree", "session_windows"]
+NAMES = ["voxel_downsample", "knn_cells_k3", "interp_value", "segment_pairs", "segment_errors_scaled", "graph_neighbors", "lookup_ids", "concatenated_errors", "laser_scan_points", "odometry_messages", "voxel_order", "ring_histogram", "gyro_rows", "factor_events", "rate_ema", "graph_degree", "session_windows"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "embeddings"):
+    for t in ("lineitem", "events", "embeddings", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = entry.queries()[name](spark, sf)
     columns = sorted(got.columns)
@@ -38,19 +38,19 @@ def test_whole_queries_equal_brute_force(spark, sf):
                     want.add((k, i, float(length), last.frame))
                     errors.setdefault(float(length), []).append(abs(last.value - mean) / length)
     run = lambda name, *cols: [tuple(r) for r in entry.queries()[name](spark, sf).select(*cols).collect()]
-    assert sorted(run("segment_pairs_all", "traj_id", "first_frame", "len", "last_frame")) == sorted(want)
-    assert sorted(run("segment_errors_all", "traj_id", "first_frame", "len", "last_frame", "t_err")) == sorted((*x, 0.0) for x in want)
-    assert {x[:3]: x[3] for x in run("segment_speed_all", "traj_id", "first_frame", "len", "speed")} == pytest.approx({(k, i, n): n / (0.1 * (j - i + 1)) for k, i, n, j in want}, abs=1e-5)
-    assert {x[0]: x[1:] for x in run("error_by_length_all", "len", "n", "t_err")} == {n: (len(e), pytest.approx(sum(e) / len(e), abs=1e-5)) for n, e in errors.items() if len(e) >= 3}
-    assert run("error_overall_all", "n") == [(len(want),)]
+    assert sorted(run("segment_pairs", "traj_id", "first_frame", "len", "last_frame")) == sorted(want)
+    assert sorted(run("segment_errors", "traj_id", "first_frame", "len", "last_frame", "t_err")) == sorted((*x, 0.0) for x in want)
+    assert {x[:3]: x[3] for x in run("segment_speed", "traj_id", "first_frame", "len", "speed")} == pytest.approx({(k, i, n): n / (0.1 * (j - i + 1)) for k, i, n, j in want}, abs=1e-5)
+    assert {x[0]: x[1:] for x in run("error_by_length", "len", "n", "t_err")} == {n: (len(e), pytest.approx(sum(e) / len(e), abs=1e-5)) for n, e in errors.items() if len(e) >= 3}
+    assert run("error_overall", "n") == [(len(want),)]
     speeds = [n / (10 * (j - i + 1)) for _, i, n, j in want]
     binned = {b: n for b in range(2, 25, 2) if (n := sum(abs(v - b) < 2 for v in speeds)) >= 3}
-    assert dict(run("error_by_speed_all", "bin", "n")) == binned
+    assert dict(run("error_by_speed", "bin", "n")) == binned
     orders, pairs = {}, set()
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
         orders.setdefault(r.l_orderkey, set()).add(r.l_partkey)
     for s in orders.values():
         pairs |= {(a, b) for a in s for b in s if a != b}
-    assert sorted(run("graph_neighbors_all", "entity_id", "neighbour")) == sorted(pairs)
+    assert sorted(run("graph_neighbors", "entity_id", "neighbour")) == sorted(pairs)
     assert max(a for a, _ in pairs) >= 50
-    assert sorted(x for x, in run("lookup_ids_all", "o_orderkey")) == sorted(orders)
+    assert sorted(x for x, in run("lookup_ids", "o_orderkey")) == sorted(orders)

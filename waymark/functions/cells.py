@@ -79,6 +79,13 @@ def neighbour_offsets(reach: int = 1) -> list[tuple[int, int, int]]:
     return list(product(span, span, span))
 
 
+def index_order(df, size: float, mode: str = "trunc", tie: str = "id", name: str = "place"):
+    """Rows numbered in the lexicographic order of their cells (x, then y, then z)."""
+    from waymark.operators.temporal import range_numbered
+
+    return range_numbered(with_cells(df, size, mode), ["cx", "cy", "cz", tie], name)
+
+
 def cell_distance(cx: Column, cy: Column, cz: Column, at: tuple[int, int, int]) -> Column:
     """Chebyshev distance in cells."""
     return F.greatest(F.abs(cx - at[0]), F.abs(cy - at[1]), F.abs(cz - at[2]))

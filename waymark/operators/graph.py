@@ -7,10 +7,12 @@ only meet partial aggregates and joins that adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.geom import identity
+from waymark.operators.temporal import range_numbered
 
 #: The tagged unions' alternatives and the number of edges of each factor with a fixed number (fixed values).
 ENTITY_KINDS = ("RefPose3", "RelPose3", "RelPose3KF", "RelDynPose3KF", "LandmarkPoint3", "Other")
@@ -48,13 +50,9 @@ def append_ids(table: DataFrame, new: DataFrame, key: str, order: list[str]) ->
 
     Ids are dealt by ranges: rows are counted by range partition and numbered inside it, so no task sorts all rows.
     """
-    part = F.spark_partition_id()
-    laid = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": part, "_m": F.monotonically_increasing_id()})
-    counts = laid.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
-    offsets = counts.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_offset"))  # a row a partition
     top = table.agg((F.coalesce(F.max(key), F.lit(-1)) + 1).alias("_top"))
-    numbered = laid.join(F.broadcast(offsets), "_p").crossJoin(F.broadcast(top))
-    return numbered.withColumn(key, F.col("_top") + F.col("_offset") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_offset", "_top")
+    numbered = range_numbered(new, order, "_place").crossJoin(F.broadcast(top))
+    return numbered.withColumn(key, F.col("_top") + F.col("_place")).drop("_place", "_top")
 
 
 def lookup(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -92,10 +90,13 @@ def update_twist(entities: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def edge_count(kind: Column, edges: Column) -> Column:
-    """By kind; smart factors have as many as they list."""
-    out = F.size(edges)
+    """By kind; smart factors have as many as they list, and none without a list. A factor of a kind with a fixed number that lists another is an error."""
+    listed = F.coalesce(F.size(edges), F.lit(0))
+    listed = F.when(listed < 0, 0).otherwise(listed)
+    out = listed
     for k, n in FACTOR_EDGES.items():
-        out = F.when(kind == k, n).otherwise(out)
+        whole = F.assert_true(listed == n, F.concat(F.lit(f"{k} has {n} edges, not "), listed.cast("string")))
+        out = F.when(kind == k, F.when(whole.isNull(), n)).otherwise(out)
     return out
 
 
@@ -105,6 +106,54 @@ def edge_at(edges: Column, i: Column) -> Column:
     return F.when(ok.isNull(), F.element_at(edges, i + 1))
 
 
+def factor_events(edges: DataFrame) -> DataFrame:
+    """``(entity_id, fid, event)``: what a back end is told of each entity that a factor has got as an edge; a table to append to."""
+    return edges.select("entity_id", "fid").distinct().withColumn("event", F.lit("edge"))
+
+
+class BackEnd:
+    """Tables that key frames, factors and poses are appended to; a solver reads them and advertises what it found.
+
+    Ids go on from the largest in the table; each call writes one batch, and one writer is expected.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def table(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException:  # nothing was written yet
+            return None
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _dealt(self, name: str, key: str, rows: DataFrame, order: list[str]) -> DataFrame:
+        old = self.table(name)
+        return append_ids(rows.limit(0).select(F.lit(0).cast("long").alias(key)) if old is None else old.select(key), rows, key, order)
+
+    def add_keyframes(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """Entities with their new ids."""
+        out = self._dealt("entities", "id", rows, order)
+        self._append("entities", out)
+        return out
+
+    def add_factors(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """Factors (with ``edges``) with their new ids; the events of their edges are appended as well."""
+        out = self._dealt("factors", "fid", rows, order)
+        self._append("factors", out)
+        self._append("events", factor_events(edge_table(out)))
+        return out
+
+    def advertise(self, poses: DataFrame) -> None:
+        """``(t_ns, frame, pose)`` for those who follow."""
+        self._append("poses", poses)
+
+    def latest_pose(self, frame: str) -> DataFrame:
+        return self.table("poses").where(F.col("frame") == frame).agg(F.max("t_ns").alias("t_ns"), F.max_by("pose", "t_ns").alias("pose"))
+
+
 def annotations(entities: DataFrame, blobs: DataFrame, name: str) -> DataFrame:
     """``(id, data)`` of one annotation; only its column is read."""
     return entities.select("id").join(blobs.where(F.col("name") == name).select("id", "data"), "id", "left")

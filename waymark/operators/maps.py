@@ -128,6 +128,22 @@ def confidence_range(hist: DataFrame, tail: float = 0.02) -> DataFrame:
     return inside.agg(F.min("bin").alias("low_bin"), F.max("bin").alias("high_bin"))
 
 
+def ring_histogram(points: DataFrame, ring: str = "ring", time: str = "t", index: str = "pt_idx") -> DataFrame:
+    """``(ring, time, idx, n)``: of each ring and time the last point's index and the number of points; points without a ring are left out."""
+    return points.where(F.col(ring).isNotNull()).groupBy(ring, time).agg(F.max(index).alias("idx"), F.count("*").alias("n"))
+
+
+def visit_points(points: DataFrame, *measures: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """A fold over all points of a map, or of each group, by aggregates."""
+    return points.groupBy(*by).agg(*measures)
+
+
+def visit_voxels(points: DataFrame, fn, schema: str, size: float, mode: str = "trunc", hard_cap: int = HASHED_CAP) -> DataFrame:
+    """``fn(cell, points as a pandas frame)`` for each voxel's stored points, which are bounded by the cap; it gives a frame of the schema."""
+    kept = downsample(points, size, 0, mode, hard_cap=hard_cap)
+    return kept.groupBy(*CELL).applyInPandas(lambda cell, pdf: fn(tuple(int(c) for c in cell), pdf), schema)
+
+
 def occupancy(hits: DataFrame, size: float, hit: float = 0.847, miss: float = -0.405, low: float = -4.6, high: float = 4.6) -> DataFrame:
     """Occupancy grid ``(ix, iy, log_odds)``: summed log-odds of hits and misses of each cell, clamped.
 

@@ -7,8 +7,9 @@ start frame only meets the few buckets where its end can lie, and adding the tra
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geom import difference, norm, trace_angle
@@ -89,6 +90,28 @@ def error_overall(errors: DataFrame) -> DataFrame:
     return errors.agg(F.count("*").alias("n"), (100 * F.avg("t_err")).alias("t_percent"), F.degrees(F.avg("r_err")).alias("r_deg"))
 
 
+def concatenated(errors: Sequence[DataFrame]) -> DataFrame:
+    """Errors of several sequences, in one table with the sequence's number."""
+    return reduce(DataFrame.unionByName, (e.withColumn("sequence", F.lit(i)) for i, e in enumerate(errors)))
+
+
+def stats(errors: DataFrame) -> DataFrame:
+    """One row of totals: mean errors as fractions and radians a metre, with the numbers of segments."""
+    return errors.agg(F.count("*").alias("segments"), F.avg("t_err").alias("t_err"), F.avg("r_err").alias("r_err"), F.max("t_err").alias("worst_t_err"))
+
+
+def path_rows(truth: DataFrame, result: DataFrame, key: str = "traj_id") -> DataFrame:
+    """What a plot of both paths shows: ``(key, frame, gt_x, gt_z, x, z)``."""
+    a = truth.select(key, "frame", F.col("pose.x").alias("gt_x"), F.col("pose.z").alias("gt_z"))
+    return a.join(result.select(key, "frame", F.col("pose.x").alias("x"), F.col("pose.z").alias("z")), [key, "frame"])
+
+
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """The frame with named measures that are taken while it is computed, without another pass."""
+    seen = Observation(name)
+    return df.observe(seen, *(c.alias(k) for k, c in measures.items())), seen
+
+
 def same_counts(truth: DataFrame, result: DataFrame, key: str = "traj_id") -> DataFrame:
     """Trajectories whose numbers of poses differ or are zero; evaluation asks that there are none."""
     a, b = truth.groupBy(key).agg(F.count("*").alias("n_truth")), result.groupBy(key).agg(F.count("*").alias("n_result"))

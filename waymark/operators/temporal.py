@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geom import interpolate
+from waymark.sources.work import stored
 
 
 def merge_streams(streams: Sequence[DataFrame], time: str = "t_ns", seq: str = "seq") -> DataFrame:
@@ -17,8 +18,20 @@ def merge_streams(streams: Sequence[DataFrame], time: str = "t_ns", seq: str = "
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked).orderBy(time, "src_rank", seq)
 
 
+def range_numbered(df: DataFrame, order: Sequence[str], name: str = "timestep") -> DataFrame:
+    """Position from 0 in the whole order. Rows are sorted and counted by ranges, which are written once; a row a range is
+    summed, so that no task sees all rows."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = stored(laid.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    parts = laid.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    parts = parts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return laid.join(F.broadcast(parts), "_p").withColumn(name, F.col("_m") + F.col("_shift")).drop("_p", "_m", "_shift")
+
+
 def with_timestep(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Position from 0, per key."""
+    if not keys:
+        return range_numbered(df, order)
     return df.withColumn("timestep", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
@@ -38,7 +51,22 @@ def decimate(df: DataFrame, every: int, label: str, order: Sequence[str]) -> Dat
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1).where(F.col("nth") % every == 0)
 
 
+def forward(df: DataFrame, step: int, position: int, order: Sequence[str]) -> DataFrame:
+    """Rows from a step on, for sources that only go on: a step before the position is refused."""
+    if step < position:
+        raise ValueError(f"cannot go back from {position} to {step}")
+    return with_timestep(df, order).where(F.col("timestep") >= step)
+
+
+def stamped(df: DataFrame, time: str, simulated: bool) -> DataFrame:
+    """With ``stamp``: the data's own time, or the wall clock's in microseconds."""
+    return df.withColumn("stamp", F.col(time) if simulated else F.unix_micros(F.current_timestamp()))
+
+
 def drop_last(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    if not keys:
+        rows = range_numbered(df, order, "_step")
+        return rows.join(F.broadcast(rows.agg(F.max("_step").alias("_last"))), F.col("_step") < F.col("_last")).drop("_step", "_last")
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
     return df.withColumn("_back", last).where("_back > 1").drop("_back")
 
@@ -108,11 +136,12 @@ def rates(df: DataFrame, label: str, time: str, order: Sequence[str], unit: floa
 
 
 def rate_ema(df: DataFrame, label: str, time: str, order: Sequence[str], alpha: float = 0.9, unit: float = 1e9) -> DataFrame:
-    """``(label, n, ema)``: exponential mean of the rates in order, seeded with the first one (an ordered fold)."""
+    """``(label, n, ema)``: exponential mean of the rates in order, seeded with the first one (as weights by the place from the end)."""
     with_rate = rates(df, label, time, order, unit).where("rate is not null")
-    lists = with_rate.groupBy(label).agg(F.array_sort(F.collect_list(F.struct(*order, "rate"))).alias("l"))
-    fold = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.element_at("l", 1).rate, lambda acc, r: acc * alpha + r.rate * (1 - alpha))
-    return lists.select(label, F.size("l").cast("long").alias("n"), fold.alias("ema"))
+    back = F.row_number().over(Window.partitionBy(label).orderBy(*(F.desc(c) for c in order))) - 1
+    weighted = with_rate.withColumn("_w", F.pow(F.lit(alpha), back) * (1 - alpha) * F.col("rate"))
+    first = F.min_by("rate", F.struct(*order))  # weighs alpha^(n-1), of which the sum has a part 1 - alpha
+    return weighted.groupBy(label).agg(F.count("*").alias("n"), (F.sum("_w") + F.pow(F.lit(alpha), F.count("*")) * first).alias("ema"))
 
 
 def stream_origin(df: DataFrame, time: str) -> DataFrame:

@@ -14,6 +14,7 @@ from waymark.functions.geom import bind, compose, conjugate, difference, from_yp
 
 #: Defaults of the fusion (fixed values): use of the velocity model in seconds, random walks.
 MAX_DT, SIGMA_LINEAR, SIGMA_ANGULAR = 2.0, 1.0, 1.0
+FOLD = 4096  # samples that are folded in one array
 
 
 def rebase_first(frames: DataFrame, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
@@ -88,14 +89,15 @@ def extrapolate_states(queries: DataFrame, states: DataFrame, key: str = "traj_i
 def inverse6(cov: pd.Series) -> pd.Series:
     """Inverse of symmetric 6x6 matrices, row-major; null where there is none."""
     out: list = [None] * len(cov)
-    good = [i for i, c in enumerate(cov) if c is not None and len(c) == 36 and np.isfinite(c).all()]
-    for i in good:
-        m = np.asarray(cov.iloc[i], float).reshape(6, 6)
-        try:
-            np.linalg.cholesky(m)
-            out[i] = np.linalg.inv(m).ravel()
-        except np.linalg.LinAlgError:
-            pass
+    good = [i for i, c in enumerate(cov) if c is not None and len(c) == 36]
+    if good:
+        m = np.stack([np.asarray(cov.iloc[i], float) for i in good]).reshape(-1, 6, 6)
+        fine = np.isfinite(m).all(axis=(1, 2))
+        least = np.zeros(len(m))
+        least[fine] = np.linalg.eigvalsh(m[fine])[:, 0]
+        fine &= least > 0  # positive definite
+        for i, x in zip(np.array(good)[fine].tolist(), np.linalg.inv(m[fine]), strict=True):
+            out[i] = x.ravel()
     return pd.Series(out, dtype=object)
 
 
@@ -107,9 +109,10 @@ def propagated_covariance(cov: Column, dt: Column, linear: float = SIGMA_LINEAR,
 def integrate_rotation(samples: DataFrame, key: str, order: Sequence[str], bias: tuple[float, float, float] = (0, 0, 0), sensor: Column | None = None) -> DataFrame:
     """``(key, dt, q, n)``: ordered product of the increments of angular rates ``(wx, wy, wz, dt)``, starting at identity.
 
-    An ordered fold over each key's samples; reset by a new key (keyframe).
+    An ordered fold over each key's samples, ``FOLD`` at once; reset by a new key (keyframe).
     """
-    lists = samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "wx", "wy", "wz", "dt"))).alias("l"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    lists = samples.withColumn("_chunk", F.floor(place / FOLD)).groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(F.struct(*order, "wx", "wy", "wz", "dt"))).alias("l"))
 
     def step(acc: Column, s: Column) -> Column:
         w = vec(s.wx - bias[0], s.wy - bias[1], s.wz - bias[2])
@@ -119,27 +122,57 @@ def integrate_rotation(samples: DataFrame, key: str, order: Sequence[str], bias:
         return F.struct((acc.dt + s.dt).alias("dt"), q.col.alias("q"))
 
     start = F.struct(F.lit(0.0).alias("dt"), F.struct(*(F.lit(v).alias(c) for c, v in zip(("qw", "qx", "qy", "qz"), (1.0, 0.0, 0.0, 0.0), strict=True))).alias("q"))
-    return lists.select(key, F.aggregate("l", start, step).alias("r"), F.size("l").cast("long").alias("n")).select(key, "r.dt", "r.q", "n")
+    # products of rotations are associative: chunks are folded apart, then their results in order
+    parts = lists.select(key, "_chunk", F.aggregate("l", start, step).alias("r"), F.size("l").cast("long").alias("n"))
+    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "r"))).alias("l"), F.sum("n").alias("n"))
+    total = F.aggregate("l", start, lambda acc, c: F.struct((acc.dt + c.r.dt).alias("dt"), quat_mul(acc.q, c.r.q).col.alias("q")))
+    return whole.select(key, total.alias("r"), "n").select(key, "r.dt", "r.q", "n")
+
+
+class Kept:
+    """Keyframes of one trajectory by cell."""
+
+    def __init__(self, distance: float, angle: float, poses: Sequence[Sequence[float]] = ()):
+        self.distance, self.angle, self.cells = distance, angle, {}
+        for p in poses:
+            self._add(np.asarray(p, float))
+
+    def _cell(self, p) -> tuple[int, int, int]:
+        return tuple(int(np.floor(c / self.distance)) if self.distance > 0 else hash(float(c)) for c in p[:3])
+
+    def _add(self, p: np.ndarray) -> None:
+        self.cells.setdefault(self._cell(p), []).append(p)
+
+    def offer(self, p: np.ndarray) -> bool:
+        """Keeps a pose if none so far is within both limits."""
+        x, y, z = self._cell(p)
+        reach = range(-1, 2) if self.distance > 0 else (0,)
+        near = [k for a in reach for b in reach for c in reach for k in self.cells.get((x + a, y + b, z + c), ())]
+        if near:
+            kept = np.array(near)
+            if ((np.linalg.norm(kept[:, :3] - p[:3], axis=1) <= self.distance) & (2 * np.arccos(np.clip(np.abs(kept[:, 3:] @ p[3:]), 0, 1)) <= self.angle)).any():
+                return False
+        self._add(p)
+        return True
 
 
 def keyframes(frames: DataFrame, key: str, order: str, distance: float, angle: float) -> DataFrame:
     """Greedy gating: a pose is a keyframe if no keyframe so far is within both the distance and the angle.
 
-    Sequential by nature: each trajectory is streamed in order; only its keyframes are held.
+    Sequential by nature: each trajectory is streamed in order; only its keyframes are held, by cells as wide as the distance,
+    so that a pose meets those of the 27 cells around it.
     """
     flat = frames.select(key, order, *(F.col(f"pose.{c}").alias(c) for c in ("x", "y", "z", "qw", "qx", "qy", "qz")))
 
     def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, np.zeros((0, 7))
+        now, kept = None, Kept(distance, angle)
         for pdf in batches:
             keep = np.zeros(len(pdf), bool)
             poses = pdf[["x", "y", "z", "qw", "qx", "qy", "qz"]].to_numpy(float)
             for i, (k, p) in enumerate(zip(pdf[key], poses, strict=True)):
                 if k != now:
-                    now, kept = k, np.zeros((0, 7))
-                near = (np.linalg.norm(kept[:, :3] - p[:3], axis=1) <= distance) & (2 * np.arccos(np.clip(np.abs(kept[:, 3:] @ p[3:]), 0, 1)) <= angle)
-                if not near.any():
-                    keep[i], kept = True, np.vstack((kept, p))
+                    now, kept = k, Kept(distance, angle)
+                keep[i] = kept.offer(p)
             yield pdf[keep]
 
     return flat.repartition(key).sortWithinPartitions(key, order).mapInPandas(gate, flat.schema)

@@ -306,9 +306,30 @@ def covariance_inverse(spark, sf):
 
 @query("gps_hdop", "SELECT event_id, round(sqrt(value) / 4.5e0, 6) AS hdop FROM events")
 def gps_hdop(spark, sf):
-    from waymark.sources.files import HDOP_METRES
+    from waymark.sources.files import gps_dilution
 
-    return table(spark, sf, "events").select("event_id", r6(F.sqrt("value") / HDOP_METRES).alias("hdop"))
+    return table(spark, sf, "events").select("event_id", r6(gps_dilution(F.col("value"))).alias("hdop"))
+
+
+@query("voxel_order", f"WITH {C} SELECT id, row_number() OVER (ORDER BY cx, cy, cz, id) - 1 AS place FROM c")
+def voxel_order(spark, sf):
+    """Points in the lexicographic order of their cells."""
+    return cells.index_order(points(spark, sf), 0.1).select("id", "place")
+
+
+@query("ring_histogram", f"""WITH {P}, f AS (SELECT *, sqrt(x * x + y * y) AS d FROM p),
+r AS (SELECT id, label, CASE WHEN d >= 5e-2 AND abs(z) <= d THEN least(31, greatest(0, round_even(31 * (asin(z / d) + radians(36.374e0)) / radians(36.374e0 + 10.86e0), 0)))::INTEGER END AS ring FROM f)
+SELECT ring, label AS t, max(id) AS idx, count(*) AS n FROM r WHERE ring IS NOT NULL GROUP BY ring, label""")
+def ring_histogram(spark, sf):
+    return maps.ring_histogram(points(spark, sf, label=True).withColumn("ring", geom.ring_of(xyz())), "ring", "label", "id").select("ring", F.col("label").alias("t"), "idx", "n")
+
+
+@query("gyro_rows", "SELECT user_id AS key, count(*) AS n, round(count(*) * 1e-3, 6) AS dt, round(abs(cos(sum(value) / 2e6)), 5) AS qw FROM events GROUP BY user_id")
+def gyro_rows(spark, sf):
+    """Angular rates about one axis from the events of each user: half angles add up."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy"), (F.col("value") / 1000).alias("wz"), F.lit(1e-3).alias("dt"))
+    out = trajectory.integrate_rotation(e, "key", ["event_id"])
+    return out.select("key", "n", r6("dt").alias("dt"), r6(F.abs("q.qw"), 5).alias("qw"))
 
 
 @query("gyro_integration")

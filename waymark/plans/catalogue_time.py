@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import geom, text
-from waymark.operators import dispatch, graph, metrics, temporal, trajectory
+from waymark.operators import dispatch, graph, messages, metrics, temporal, trajectory
 from waymark.plans.catalogue import E, T, events, query, r6, table
 
 ORDER = ["t_us", "event_id"]
@@ -162,8 +162,8 @@ def path_length(spark, sf):
     return metrics.path_length(f).select("traj_id", "event_id", r6("dist", 4).alias("dist"))
 
 
-SEG = f"{T}, l AS (SELECT unnest([100e0, 200e0, 400e0, 800e0]) AS len), s AS (SELECT i.traj_id, i.frame AS first_frame, len, min(j.frame) AS last_frame FROM f i, l, f j WHERE i.frame % 10 = 0 AND j.traj_id = i.traj_id AND j.dist > i.dist + len GROUP BY ALL)"
-LENGTHS = (100, 200, 400, 800)  # those of the SQL; the queries named ..._all take all of the operator's, and are held against brute force
+SEG = f"{T}, l AS (SELECT unnest([100e0, 200e0, 300e0, 400e0, 500e0, 600e0, 700e0, 800e0]) AS len), s AS (SELECT i.traj_id, i.frame AS first_frame, len, min(j.frame) AS last_frame FROM f i, l, f j WHERE i.frame % 10 = 0 AND j.traj_id = i.traj_id AND j.dist > i.dist + len GROUP BY ALL)"
+LENGTHS = metrics.LENGTHS
 
 
 def segs(spark, sf, lengths=LENGTHS):
@@ -175,21 +175,11 @@ def segment_pairs(spark, sf):
     return segs(spark, sf)
 
 
-@query("segment_pairs_all")
-def segment_pairs_all(spark, sf):
-    return segs(spark, sf, metrics.LENGTHS)
-
-
 @query("segment_speed", f"WITH {SEG} SELECT traj_id, first_frame, len, round(len / (0.1e0 * (last_frame - first_frame + 1)), 6) AS speed FROM s")
 def segment_speed(spark, sf):
     return segs(spark, sf).select("traj_id", "first_frame", "len", r6(metrics.speed()).alias("speed"))
 
 
-@query("segment_speed_all")
-def segment_speed_all(spark, sf):
-    return segs(spark, sf, metrics.LENGTHS).select("traj_id", "first_frame", "len", r6(metrics.speed()).alias("speed"))
-
-
 ERR = f"{SEG}, m AS (SELECT avg(value) AS a FROM events), x AS (SELECT s.*, abs(f.value - a) / len AS t_err, abs(f.value - a) / len / 10 AS r_err, len / (10e0 * (last_frame - first_frame + 1)) AS speed FROM s JOIN f ON f.traj_id = s.traj_id AND f.frame = s.last_frame, m)"
 
 
@@ -209,31 +199,16 @@ def error_by_length(spark, sf, lengths=LENGTHS):
     return metrics.error_by_length(errors(spark, sf, lengths)).select("len", "n", r6("t_err").alias("t_err"), r6("r_err").alias("r_err"))
 
 
-@query("error_by_length_all")
-def error_by_length_all(spark, sf):
-    return error_by_length(spark, sf, metrics.LENGTHS)
-
-
 @query("error_by_speed", f"WITH {ERR}, b AS (SELECT unnest(range(2, 25, 2))::DOUBLE AS bin) SELECT bin, {CURVE} FROM x, b WHERE abs(speed - bin) < 2 GROUP BY bin HAVING count(*) >= 3")
 def error_by_speed(spark, sf, lengths=LENGTHS):
     return metrics.error_by_speed(errors(spark, sf, lengths)).select("bin", "n", r6("t_err").alias("t_err"), r6("r_err").alias("r_err"))
 
 
-@query("error_by_speed_all")
-def error_by_speed_all(spark, sf):
-    return error_by_speed(spark, sf, metrics.LENGTHS)
-
-
 @query("error_overall", f"WITH {ERR} SELECT count(*) AS n, round(100 * avg(t_err), 6) AS t_percent, round(degrees(avg(r_err)), 6) AS r_deg FROM x")
 def error_overall(spark, sf, lengths=LENGTHS):
     return metrics.error_overall(errors(spark, sf, lengths)).select("n", r6("t_percent").alias("t_percent"), r6("r_deg").alias("r_deg"))
 
 
-@query("error_overall_all")
-def error_overall_all(spark, sf):
-    return error_overall(spark, sf, metrics.LENGTHS)
-
-
 def pose_frames(spark, sf):
     """Planar frames: x is the distance so far over 100, the heading the event's value over 100."""
     f = frames(spark, sf)
@@ -250,9 +225,26 @@ def segment_errors(spark, sf, lengths=LENGTHS):
     return out.select("traj_id", "first_frame", "last_frame", "len", r6("r_err").alias("r_err"), r6("t_err").alias("t_err"))
 
 
-@query("segment_errors_all")
-def segment_errors_all(spark, sf):
-    return segment_errors(spark, sf, metrics.LENGTHS)
+SCALED = f"""{SEG}, y AS (SELECT s.*, a.value / 1000 AS y0, b.value / 1000 AS y1, b.dist - a.dist AS d FROM s JOIN f a ON a.traj_id = s.traj_id AND a.frame = s.first_frame JOIN f b ON b.traj_id = s.traj_id AND b.frame = s.last_frame)"""
+
+
+@query("segment_errors_scaled", f"WITH {SCALED} SELECT traj_id, first_frame, last_frame, len, round((sqrt(3e0) - 1) * abs(y1 - y0) / len, 6) + 0e0 AS r_err, round(d * sqrt(2.0404e0 - 2.04e0 * cos((sqrt(3e0) - 1) * y0)) / len, 5) + 0e0 AS t_err FROM y")
+def segment_errors_scaled(spark, sf):
+    """Against a trajectory with steps 2 per cent longer and headings larger by the root of 3: errors by the law of cosines."""
+    f = frames(spark, sf)
+    truth = f.select("traj_id", "frame", trajectory.planar_pose(F.col("dist"), F.lit(0.0), F.col("value") / 1000).col.alias("pose"))
+    result = f.select("traj_id", "frame", trajectory.planar_pose(F.col("dist") * 1.02, F.lit(0.0), F.col("value") / 1000 * 3**0.5).col.alias("pose"))
+    out = metrics.segment_errors(truth, result)
+    return out.select("traj_id", "first_frame", "last_frame", "len", r6("r_err").alias("r_err"), r6("t_err", 5).alias("t_err"))
+
+
+@query("concatenated_errors", f"WITH {ERR}, t AS (SELECT 0 AS sequence, * FROM x UNION ALL SELECT 1, * FROM x) SELECT sequence, count(*) AS n, round(100 * avg(t_err), 6) AS t_percent FROM t GROUP BY sequence UNION ALL SELECT -1, count(*), round(100 * avg(t_err), 6) FROM t")
+def concatenated_errors(spark, sf):
+    """The errors of two sequences, each and together."""
+    both = metrics.concatenated([errors(spark, sf), errors(spark, sf)])
+    each = both.groupBy("sequence").agg(F.count("*").alias("n"), (100 * F.avg("t_err")).alias("t_percent"))
+    every = metrics.error_overall(both).select(F.lit(-1).alias("sequence"), "n", "t_percent")
+    return each.union(every).select("sequence", "n", r6("t_percent").alias("t_percent"))
 
 
 @query("rebase_first", f"WITH {T}, z AS (SELECT *, first_value(dist) OVER w AS d0, first_value(value) OVER w AS v0 FROM f WINDOW w AS (PARTITION BY traj_id ORDER BY frame)) SELECT event_id, round(cos(v0 / 1000) * (dist - d0) / 100, 4) + 0e0 AS x, round(-sin(v0 / 1000) * (dist - d0) / 100, 4) + 0e0 AS y, round((value - v0) / 1000, 5) + 0e0 AS yaw FROM z")
@@ -322,14 +314,8 @@ def graph_adjacency(spark, sf):
     return a.select("entity_id", F.size("fids").cast("long").alias("n"), F.element_at("fids", 1).alias("least"), F.element_at("fids", -1).alias("most"))
 
 
-@query("graph_neighbors", "WITH e AS (SELECT DISTINCT l_orderkey AS fid, l_partkey AS entity_id FROM lineitem) SELECT DISTINCT a.entity_id, b.entity_id AS neighbour FROM e a JOIN e b USING (fid) WHERE a.entity_id < 50 AND a.entity_id <> b.entity_id")
+@query("graph_neighbors", "WITH e AS (SELECT DISTINCT l_orderkey AS fid, l_partkey AS entity_id FROM lineitem) SELECT DISTINCT a.entity_id, b.entity_id AS neighbour FROM e a JOIN e b USING (fid) WHERE a.entity_id <> b.entity_id")
 def graph_neighbors(spark, sf):
-    e = factors(spark, sf)
-    return graph.neighbours(e, e.where("entity_id < 50").select("entity_id").distinct())
-
-
-@query("graph_neighbors_all")
-def graph_neighbors_all(spark, sf):
     return graph.neighbours(factors(spark, sf))
 
 
@@ -373,18 +359,41 @@ def append_ids(spark, sf):
     return graph.append_ids(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf, "customer").select("c_custkey"), "id", ["c_custkey"])
 
 
-@query("lookup_ids", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 20)")
+@query("lookup_ids", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def lookup_ids(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return graph.lookup(o, "o_orderkey", o.where("o_custkey < 20"))
-
-
-@query("lookup_ids_all")
-def lookup_ids_all(spark, sf):
     """Every order that a line item names."""
     return graph.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct())
 
 
+@query("factor_events", "SELECT l_partkey AS entity_id, l_orderkey AS fid, 'edge' AS event FROM lineitem GROUP BY ALL")
+def factor_events(spark, sf):
+    """What a back end is told when every order's factor gets its edges."""
+    return graph.factor_events(factors(spark, sf)).select("entity_id", "fid", "event")
+
+
+@query("laser_scan_points", "SELECT event_id, i::INTEGER AS pt_idx, round(r * cos(-0.5e0 + 0.25e0 * i), 6) + 0e0 AS x, round(r * sin(-0.5e0 + 0.25e0 * i), 6) + 0e0 AS y FROM (SELECT event_id, unnest([value, value / 2, 0.05e0, value / 4]) AS r, unnest([0, 1, 2, 3]) AS i FROM events) WHERE r >= 0.1 AND r <= 50")
+def laser_scan_points(spark, sf):
+    payload = F.to_json(F.struct(F.lit(-0.5).alias("angle_min"), F.lit(0.25).alias("angle_increment"), F.lit(0.1).alias("range_min"), F.lit(50.0).alias("range_max"), F.array(F.col("value"), F.col("value") / 2, F.lit(0.05), F.col("value") / 4).alias("ranges")))
+    m = table(spark, sf, "events").select(F.col("event_id").alias("t_ns"), F.col("event_type").alias("sensor_label"), payload.alias("payload"))
+    p = messages.scan_points(messages.decoded(m, "Scan2D"))
+    return p.select(F.col("t_ns").alias("event_id"), "pt_idx", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("odometry_messages", "SELECT event_id, event_type AS child, value AS x, value / 2 AS vx FROM events")
+def odometry_messages(spark, sf):
+    vec = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    turn = F.struct(*(F.lit(v).alias(c) for c, v in zip("xyzw", (0.0, 0.0, 0.0, 1.0), strict=True)))
+    payload = F.struct(F.col("event_type").alias("child_frame_id"), F.struct(F.struct(vec(F.col("value")).alias("position"), turn.alias("orientation")).alias("pose")).alias("pose"), F.struct(F.struct(vec(F.col("value") / 2).alias("linear"), vec(F.lit(0.0)).alias("angular")).alias("twist")).alias("twist"))
+    m = table(spark, sf, "events").select(F.col("event_id").alias("t_ns"), F.col("event_type").alias("sensor_label"), F.to_json(payload).alias("payload"))
+    return messages.decoded(m, "Odometry").select(F.col("t_ns").alias("event_id"), "child", F.col("pose.x").alias("x"), F.col("twist.vx").alias("vx"))
+
+
+@query("stamped", "SELECT event_id, epoch_us(ts) AS t FROM events")
+def stamped(spark, sf):
+    """Simulated time: the stamps of the data, not those of the wall clock."""
+    return temporal.stamped(events(spark, sf), "t_us", simulated=True).select("event_id", F.col("stamp").alias("t"))
+
+
 # --- dispatch and text ----------------------------------------------------------------------------------------------
 
 

@@ -6,15 +6,16 @@ a time. ``step`` numbers come from names sorted, as the datasets define them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text
-from waymark.functions.geom import from_matrix12, pose_of, vec
+from waymark.functions.geom import correct_elevation, from_matrix12, pose_of, vec
 from waymark.operators.trajectory import from_ypr_rows
 
 POINT = "path string, pt_idx int, x float, y float, z float, intensity float"
@@ -40,9 +41,10 @@ def kitti_times(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kitti_poses(spark: SparkSession, path: str) -> DataFrame:
-    """``(frame, pose)`` of 3x4 rows; lines that aren't twelve numbers end nothing but are left out."""
+    """``(frame, pose)`` of 3x4 rows; lines that aren't twelve numbers are left out, and frames number the good rows."""
     rows = text_lines(spark, path).select("line_no", text.numbers(F.col("line")).alias("m")).where(text.well_formed(F.col("m"), 12))
-    return rows.select(F.col("line_no").alias("frame"), from_matrix12(F.col("m")).col.alias("pose"))
+    frame = F.row_number().over(Window.orderBy("line_no")) - 1  # a row a pose of one sequence
+    return rows.select(frame.cast("long").alias("frame"), from_matrix12(F.col("m")).col.alias("pose"))
 
 
 def kitti_calibration(spark: SparkSession, path: str, keys: tuple[str, ...] = ("P0", "P1", "P2", "P3", "Tr")) -> DataFrame:
@@ -57,6 +59,83 @@ def kitti_camera_offsets(calibration: DataFrame) -> DataFrame:
     return calibration.where(F.col("key").startswith("P")).select("key", (-F.col("m")[3] / F.col("m")[0]).alias("x"))
 
 
+def camera_poses(calibration: DataFrame) -> dict[str, list[list[float]]]:
+    """4x4 poses of the cameras in the lidar's frame: inv(Tr), then the offset along x of each projection matrix. Five rows, on the driver."""
+    m = {r.key: np.array(r.m).reshape(3, 4) for r in calibration.collect()}
+    if missing := {"P0", "P1", "P2", "P3", "Tr"} - m.keys():
+        raise ValueError(f"calibration without {sorted(missing)}")
+    base = np.linalg.inv(np.vstack((m["Tr"], [0, 0, 0, 1])))
+    out = {}
+    for k in ("P0", "P1", "P2", "P3"):
+        at = np.eye(4)
+        at[0, 3] = -m[k][0, 3] / m[k][0, 0]
+        out[k] = (base @ at).tolist()
+    return out
+
+
+class KittiSequence:
+    """A sequence's folder: times, scans with corrected elevations, images, cameras and ground truth; their numbers must agree."""
+
+    def __init__(self, spark: SparkSession, folder: str, poses: str | None = None):
+        self.spark, self.folder, self.poses = spark, folder.rstrip("/"), poses
+        self.times = kitti_times(spark, f"{self.folder}/times.txt")
+        self.scans = list_files(spark, f"{self.folder}/velodyne", "*.bin")
+        self.calibration = kitti_calibration(spark, f"{self.folder}/calib.txt")
+        n, scans = self.times.count(), self.scans.count()
+        if n != scans:
+            raise ValueError(f"{n} times but {scans} scans")
+        if poses and (k := self.truth().count()) != n:
+            raise ValueError(f"{n} times but {k} poses")
+
+    def observations(self) -> DataFrame:
+        """``(step, t_ns, path)`` of the scans."""
+        return self.times.join(self.scans.select("step", "path"), "step")
+
+    def points(self, step: int | None = None) -> DataFrame:
+        """Points with their scan's step and time; elevations are corrected."""
+        scans = self.observations() if step is None else self.observations().where(F.col("step") == step)
+        raw = binary_points(self.spark, f"{self.folder}/velodyne") if step is None else binary_points(self.spark, scans.first().path)
+        at = correct_elevation(vec(F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")))
+        fixed = raw.withColumn("_p", at.col).select("path", "pt_idx", *(F.col(f"_p.{c}").alias(c) for c in "xyz"), "intensity")
+        return fixed.join(F.broadcast(scans), "path").drop("path")
+
+    def images(self, camera: int) -> DataFrame:
+        """``(step, t_ns, path)``; as many as times, or none."""
+        files = list_files(self.spark, f"{self.folder}/image_{camera}", "*.png")
+        if (n := files.count()) not in (0, self.times.count()):
+            raise ValueError(f"{n} images of camera {camera}")
+        return self.times.join(files.select("step", "path"), "step")
+
+    def cameras(self) -> dict[str, list[list[float]]]:
+        return camera_poses(self.calibration)
+
+    def truth(self) -> DataFrame:
+        return kitti_poses(self.spark, self.poses)
+
+
+def read_table(spark: SparkSession, path: str, kind: str, schema: str | None = None, **options) -> DataFrame:
+    """Any format that Spark reads: parquet, orc, json, csv, text, jdbc."""
+    reader = spark.read.format(kind).options(**options)
+    return (reader.schema(schema) if schema else reader).load(path) if kind != "jdbc" else reader.option("url", path).load()
+
+
+def sensor_yaml(content: str) -> dict[str, object]:
+    """The pose, intrinsics and distortion of a camera or IMU file: scalars and (nested) lists of one level of mappings."""
+    body = "\n".join(x.split("#", 1)[0] for x in content.splitlines() if not x.startswith("%"))
+    lists = {k: [float(v) for v in found.group(1).split(",") if v.strip()] for k in ("data", "intrinsics", "distortion_coefficients", "resolution") if (found := re.search(rf"\b{k}\s*:\s*\[([^\]]*)\]", body))}
+    words = dict(re.findall(r"^(\w+)\s*:[ \t]*([^\[\s][^\n]*?)[ \t]*$", body, re.MULTILINE))
+    if len(lists.get("data", ())) != 16:
+        raise ValueError("a sensor file needs sixteen numbers of T_BS")
+    if "intrinsics" in lists and len(lists["intrinsics"]) != 4:
+        raise ValueError("four intrinsics are needed")
+    return {"pose": [lists["data"][i : i + 4] for i in range(0, 16, 4)], **{k: v for k, v in lists.items() if k != "data"}, **words}
+
+
+def euroc_sensor(spark: SparkSession, path: str) -> dict[str, object]:
+    """``sensor.yaml`` of a sensor."""
+    return sensor_yaml(spark.read.text(path, wholetext=True).first().value)
+
+
 def binary_points(spark: SparkSession, folder: str, pattern: str = "*.bin", fields: int = 4, exact: int | None = None) -> DataFrame:
     """Long-form points ``(path, pt_idx, x, y, z, intensity)`` of little-endian float32 records; ``exact`` asserts their number."""
 
@@ -110,6 +189,11 @@ def euroc_streams(spark: SparkSession, folder: str) -> DataFrame:
     return merge_streams(streams)
 
 
+def gps_dilution(variance: Column) -> Column:
+    """Dilution that a horizontal variance stands for."""
+    return F.sqrt(variance) / HDOP_METRES
+
+
 #: Metres of standard deviation that stand for a dilution of 1 (fixed value).
 HDOP_METRES = 4.5
 
@@ -118,7 +202,7 @@ def mulran_gps(spark: SparkSession, path: str) -> DataFrame:
     """``(t_ns, lat, lon, alt, hdop, cov array<double>)``."""
     rows = spark.read.csv(path, schema="t_ns long, lat double, lon double, alt double, " + ", ".join(f"c{i} double" for i in range(9)))
     cov = F.array(*(F.col(f"c{i}") for i in range(9)))
-    return rows.where("t_ns is not null").select("t_ns", "lat", "lon", "alt", (F.sqrt("c0") / HDOP_METRES).alias("hdop"), cov.alias("cov"))
+    return rows.where("t_ns is not null").select("t_ns", "lat", "lon", "alt", gps_dilution(F.col("c0")).alias("hdop"), cov.alias("cov"))
 
 
 def mulran_truth(spark: SparkSession, path: str) -> DataFrame:

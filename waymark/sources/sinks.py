@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,30 @@ def save_world(path: str, entities: DataFrame, factors: DataFrame, annotations:
 
 
 def load_world(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: checked_version(spark.read.parquet(f"{path}/{n}")).drop("schema_version") for n in ("entities", "factors")}
+    out = {n: checked_version(spark.read.parquet(f"{path}/{n}")).drop("schema_version") for n in ("entities", "factors")}
+    try:
+        out["annotations"] = checked_version(spark.read.parquet(f"{path}/annotations")).drop("schema_version")
+    except AnalysisException:  # saved without any
+        pass
+    return out
+
+
+def export_stream(stream: DataFrame, path: str, checkpoint: str, by: str = "kind"):
+    """Every observation of a stream to the log, exactly once."""
+    return stream.withColumn("schema_version", F.lit(SCHEMA_VERSION)).writeStream.format("parquet").partitionBy(by).option("path", path).option("checkpointLocation", checkpoint)
+
+
+def tf_rows(poses: DataFrame, parent: str, child: str) -> DataFrame:
+    """``(t_ns, parent, child, x … qz)``: poses as transforms to publish."""
+    return poses.select("t_ns", F.lit(parent).alias("parent"), F.lit(child).alias("child"), *(F.col(f"pose.{c}").alias(c) for c in ("x", "y", "z", "qw", "qx", "qy", "qz")))
+
+
+def odometry_rows(states: DataFrame) -> DataFrame:
+    """Messages of poses and twists, as ``messages.odometry`` reads them."""
+    part = lambda of, names: F.struct(*(F.col(f"{of}.{n}").alias(c) for n, c in names))
+    pose = F.struct(part("pose", [(c, c) for c in "xyz"]).alias("position"), part("pose", [(f"q{c}", c) for c in "xyzw"]).alias("orientation"))
+    twist = F.struct(part("twist", [(f"v{c}", c) for c in "xyz"]).alias("linear"), part("twist", [(f"w{c}", c) for c in "xyz"]).alias("angular"))
+    return states.select("t_ns", "sensor_label", F.struct(F.lit("base_link").alias("child_frame_id"), F.struct(pose.alias("pose")).alias("pose"), F.struct(twist.alias("twist")).alias("twist")).alias("payload"))
 
 
 def write_metrics(tables: Mapping[str, DataFrame], path: str) -> None:
