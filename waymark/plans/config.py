@@ -7,7 +7,9 @@ Shell commands in configuration are deliberately not run. Comment lines (``#`` f
 
 from __future__ import annotations
 
+import importlib
 import json
+import logging
 import math
 import os
 import re
@@ -15,6 +17,7 @@ from collections.abc import Callable, Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 INCLUDE = re.compile(r"^\$include\{(.+)\}$")
 HERE = "CURRENT_CONFIG_FILE_PATH"
@@ -90,6 +93,76 @@ def module(name: str):
     return add
 
 
+def load_user(path: str):
+    """A user's builder by ``package.module:function``; it is registered under that name."""
+    if path not in REGISTRY:
+        where, _, name = path.partition(":")
+        REGISTRY[path] = getattr(importlib.import_module(where), name)
+    return REGISTRY[path]
+
+
+@module("table")
+def _table(spark: SparkSession, inputs: list[DataFrame], path: str, kind: str = "parquet", schema: str | None = None, options: Mapping | None = None) -> DataFrame:
+    from waymark.sources.files import read_table
+
+    return read_table(spark, path, kind, schema, **(options or {}))
+
+
+@module("kitti")
+def _kitti(spark: SparkSession, inputs: list[DataFrame], folder: str, poses: str | None = None) -> DataFrame:
+    from waymark.sources.files import KittiSequence
+
+    return KittiSequence(spark, folder, poses).points()
+
+
+@module("euroc")
+def _euroc(spark: SparkSession, inputs: list[DataFrame], folder: str) -> DataFrame:
+    from waymark.sources.files import euroc_streams
+
+    return euroc_streams(spark, folder)
+
+
+@module("tum")
+def _tum(spark: SparkSession, inputs: list[DataFrame], path: str) -> DataFrame:
+    from waymark.sources.files import tum_trajectory
+
+    return tum_trajectory(spark, path)
+
+
+@module("stream")
+def _stream(spark: SparkSession, inputs: list[DataFrame], path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+    from waymark.streaming.stateful import replay
+
+    return replay(spark, path, schema, files_per_trigger)
+
+
+@module("decode")
+def _decode(spark: SparkSession, inputs: list[DataFrame], kind: str) -> DataFrame:
+    from waymark.operators.messages import decoded
+
+    return decoded(inputs[0], kind)
+
+
+@module("map_filter")
+def _map_filter(spark: SparkSession, inputs: list[DataFrame], column: str, value: str) -> DataFrame:
+    """A user filter: the column becomes the SQL expression; rows where that is null go."""
+    return inputs[0].withColumn(column, F.expr(value)).where(F.col(column).isNotNull())
+
+
+@module("map_sparse")
+def _map_sparse(spark: SparkSession, inputs: list[DataFrame], size: float, mode: str = "round") -> DataFrame:
+    from waymark.operators.maps import voxel_means
+
+    return voxel_means(inputs[0], size, mode)
+
+
+@module("map_occupancy")
+def _map_occupancy(spark: SparkSession, inputs: list[DataFrame], size: float) -> DataFrame:
+    from waymark.operators.maps import occupancy
+
+    return occupancy(inputs[0], size)
+
+
 @module("parquet")
 def _parquet(spark: SparkSession, inputs: list[DataFrame], path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -136,8 +209,46 @@ def launch_order(modules: list[Mapping]) -> list[Mapping]:
     return sorted((m for m in modules if not m.get("launch_ignore", False)), key=lambda m: (m.get("priority", 50), m["name"]))
 
 
-def build(spark: SparkSession, spec: Mapping) -> dict[str, DataFrame]:
-    """One DataFrame for each of ``modules``, which name their ``inputs`` (a name or a list); plans are declared, not run."""
+#: What a module gives, for those who look for modules by it.
+INTERFACES = {"source": ("parquet", "table", "kitti", "euroc", "tum", "stream"), "filter": ("filter", "map_filter", "decimate", "keep_latest"), "map": ("voxel_downsample", "map_sparse", "map_occupancy")}
+DEFAULT_RATE = 1.0  # executions a second (fixed value)
+
+
+def find(spec: Mapping, name: str | None = None, interface: str | None = None) -> list[Mapping]:
+    """Modules of a specification by name or by what they give; the name server."""
+    kinds = INTERFACES.get(interface, (interface,))
+    return [m for m in launch_order(required(spec, "modules")) if (name is None or m["name"] == name) and (interface is None or m["type"] in kinds)]
+
+
+def trigger_of(m: Mapping) -> dict[str, str]:
+    """The trigger of a module that is a stream: so many executions a second."""
+    rate = float(m.get("execution_rate", DEFAULT_RATE))
+    if rate <= 0:
+        raise ValueError("execution_rate must be positive")
+    return {"processingTime": f"{round(1000 / rate)} milliseconds"}
+
+
+def parameters(m: Mapping, folder: str | Path = ".") -> Mapping:
+    """``params`` in place, or in a file of their own that ``params_file`` names."""
+    if "params_file" in m:
+        if "params" in m:
+            raise ValueError(f"{m['name']}: params or params_file, not both")
+        return load(Path(folder) / m["params_file"])
+    return m.get("params", {})
+
+
+def verbosity(m: Mapping) -> str:
+    level = m.get("verbosity_level", "INFO")
+    if level not in ("DEBUG", "INFO", "WARN", "ERROR"):
+        raise ValueError(f"no such verbosity: {level}")
+    return level
+
+
+def build(spark: SparkSession, spec: Mapping, folder: str | Path = ".") -> dict[str, DataFrame]:
+    """One DataFrame for each of ``modules``, which name their ``inputs`` (a name or a list); plans are declared, not run.
+
+    A type with a colon is a user's own builder.
+    """
     todo, done = {m["name"]: m for m in launch_order(required(spec, "modules"))}, {}
 
     def make(name: str, path: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +258,9 @@ def build(spark: SparkSession, spec: Mapping) -> dict[str, DataFrame]:
             m = required(todo, name)
             inputs = m.get("inputs", [])
             frames = [make(x, (*path, name)) for x in ([inputs] if isinstance(inputs, str) else inputs)]
-            done[name] = required(REGISTRY, required(m, "type"))(spark, frames, **m.get("params", {}))
+            kind = required(m, "type")
+            logging.getLogger(f"waymark.{name}").setLevel(verbosity(m))
+            done[name] = (load_user(kind) if ":" in kind else required(REGISTRY, kind))(spark, frames, **parameters(m, folder))
         return done[name]
 
     for name in todo:
