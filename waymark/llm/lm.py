@@ -113,9 +113,12 @@ def contexts(tokens: list[np.ndarray], first: int = 0, stride: int = 1) -> tuple
     return line[at], np.stack([line[at + d] for d in SIDES], axis=1)
 
 
+ONES = {16: np.ones(16, np.float32)}
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(np.clip(x, -60, 60, out=x), out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x = np.exp(np.minimum(x, 60, out=x), out=x)
+    x /= (x @ ONES[x.shape[1]])[:, None]
     return x
 
 
@@ -127,11 +130,17 @@ def hidden(p: dict, near: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def log_share(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Log-softmax of one column of each row."""
-    x -= x.max(axis=1, keepdims=True)
+def log_share(x: np.ndarray, pick: np.ndarray, shift: bool) -> np.ndarray:
+    """Log-softmax of one column of each row; without a shift, no value may be so large that its exponential overflows."""
+    if shift:
+        x -= x.max(axis=1, keepdims=True)
     got = x[np.arange(len(x)), pick]
-    return got - np.log(np.exp(x, out=x).sum(axis=1))
+    return got - np.log(np.exp(x, out=x) @ ONES[x.shape[1]])
+
+
+def may_overflow(p: dict) -> bool:
+    """Whether a logit can pass 60: hidden values lie between -1 and 1."""
+    return any(float((np.abs(p[w]).sum(axis=-2) + np.abs(p[b])).max()) > 60 for w, b in (("w0", "b0"), ("w1", "b1"), ("w2", "b2")))
 
 
 def log_probs(p: dict, centre: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -140,16 +149,16 @@ def log_probs(p: dict, centre: np.ndarray, near: np.ndarray) -> np.ndarray:
         return np.zeros(0)
     order = np.argsort(centre, kind="stable")
     t, h = centre[order].astype(np.int64), hidden(p, near[order])
-    got = np.empty(len(t))
+    got, wide = np.empty(len(t)), may_overflow(p)
     for lo in range(0, len(t), 4096):  # pieces that stay in the processor's cache
         r = slice(lo, lo + 4096)
-        got[r] = log_share(h[r] @ p["w0"] + p["b0"], t[r] >> 8)
+        got[r] = log_share(h[r] @ p["w0"] + p["b0"], t[r] >> 8, wide)
     for w, b, shift in (("w1", "b1", 8), ("w2", "b2", 4)):
         edges = np.searchsorted(t >> shift, np.arange(len(p[w]) + 1)).tolist()
         for k, (x, y) in enumerate(pairwise(edges)):
             for lo in range(x, y, 4096):
                 r = slice(lo, min(lo + 4096, y))
-                got[r] += log_share(h[r] @ p[w][k] + p[b][k], t[r] >> shift - 4 & 15)
+                got[r] += log_share(h[r] @ p[w][k] + p[b][k], t[r] >> shift - 4 & 15, wide)
     out = np.empty(len(t))
     out[order] = got
     return out
@@ -158,7 +167,7 @@ def log_probs(p: dict, centre: np.ndarray, near: np.ndarray) -> np.ndarray:
 def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One gradient step on a mini-batch, in place."""
     n = len(centre)
-    order = np.argsort(centre, kind="stable")
+    order = centre.argsort(kind="stable")
     t, near = centre[order].astype(np.int64), near[order]
     rows = np.arange(n)
     h = hidden(p, near)
@@ -167,36 +176,56 @@ def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     dh = g @ p["w0"].T
     p["w0"] -= rate / n * (h.T @ g)
     p["b0"] -= rate / n * g.sum(axis=0)
-    for w, b, branch, pick in (("w1", "b1", t >> 8, t >> 4 & 15), ("w2", "b2", t >> 4, t & 15)):
-        own = p[w][branch]
-        g = softmax(np.matmul(h[:, None, :], own)[:, 0] + p[b][branch])
-        g[rows, pick] -= 1
-        dh += np.matmul(own, g[:, :, None])[:, :, 0]
-        descend(p[w], p[b], branch, h, g, rate)
+    descend(p["w1"], p["b1"], t >> 8, t >> 4 & 15, h, dh, rate)
+    descend(p["w2"], p["b2"], t >> 4, t & 15, h, dh, rate)
     dx = dh * (1 - h * h)
     # the steps of each neighbour by the root of their number, so that frequent words don't overshoot
     at = (near + SIDE_AT).ravel()
-    order = np.argsort(at.astype(np.uint16) if SIDE_AT[-1] + WORDS < 1 << 16 else at, kind="stable")
+    order = at.astype(np.uint16).argsort(kind="stable")  # there are fewer than 2**16 of them
     at = at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    times = np.diff(np.append(first, len(at)))
+    first, times = runs_of(at)
     p["emb"][at[first]] -= (rate / 4 / np.sqrt(times)).astype(np.float32)[:, None] * np.add.reduceat(dx[order // len(SIDES)], first, axis=0)
 
 
-def descend(w: np.ndarray, b: np.ndarray, branch: np.ndarray, h: np.ndarray, g: np.ndarray, rate: float) -> None:
-    """Each branch's step against the mean of its rows (of sixteen at least): long runs of rows one by one, short ones all at once."""
-    first = np.flatnonzero(np.diff(branch, prepend=-1))
-    size = np.diff(np.append(first, len(branch)))
-    m = (rate / np.maximum(16, size)).astype(np.float32)
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its length."""
+    edge = (x[1:] != x[:-1]).nonzero()[0]
+    first = np.empty(len(edge) + 1, np.int64)
+    first[0] = 0
+    np.add(edge, 1, out=first[1:])
+    size = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=size[:-1])
+    size[-1] = len(x) - first[-1]
+    return first, size
+
+
+def descend(w: np.ndarray, b: np.ndarray, branch: np.ndarray, pick: np.ndarray, h: np.ndarray, dh: np.ndarray, rate: float) -> None:
+    """One level of the tree: adds to the gradient of the hidden values, and steps each branch against the mean of its rows (of
+    sixteen at least). Rows of a branch lie together; long runs are taken one by one, short ones all at once."""
+    first, size = runs_of(branch)
+    of, m = branch[first], (rate / np.maximum(16, size)).astype(np.float32)
     long = size > SHORT
-    for lo, n, k, x in zip(first[long].tolist(), size[long].tolist(), branch[first[long]].tolist(), m[long], strict=True):
-        w[k] -= x * (h[lo : lo + n].T @ g[lo : lo + n])
-    few = np.flatnonzero(~long)
-    at = first[few][:, None] + np.arange(SHORT)
-    scale = np.where(np.arange(SHORT) < size[few][:, None], m[few][:, None], np.float32(0))
-    at = np.minimum(at, len(branch) - 1)
-    w[branch[first[few]]] -= np.matmul((h[at] * scale[:, :, None]).transpose(0, 2, 1), g[at])
-    b[branch[first]] -= m[:, None] * np.add.reduceat(g, first, axis=0)
+    runs = list(zip(first[long].tolist(), (first + size)[long].tolist(), of[long].tolist(), m[long], strict=True))
+    g = np.empty((len(branch), w.shape[2]), np.float32)
+    for lo, hi, k, _ in runs:
+        np.matmul(h[lo:hi], w[k], out=g[lo:hi])
+    few = (~long).nonzero()[0]
+    rest = np.repeat(~long, size).nonzero()[0]
+    if len(rest):
+        own = w[branch[rest]]
+        g[rest] = np.matmul(h[rest][:, None, :], own)[:, 0]
+    g = softmax(g + b[branch])
+    g[np.arange(len(g)), pick] -= 1
+    for lo, hi, k, x in runs:
+        dh[lo:hi] += g[lo:hi] @ w[k].T
+        w[k] -= x * (h[lo:hi].T @ g[lo:hi])
+    if len(rest):
+        dh[rest] += np.matmul(own, g[rest][:, :, None])[:, :, 0]
+        at = first[few][:, None] + np.arange(SHORT)
+        scale = np.where(np.arange(SHORT) < size[few][:, None], m[few][:, None], np.float32(0))
+        at = np.minimum(at, len(branch) - 1)
+        w[of[few]] -= np.matmul((h[at] * scale[:, :, None]).transpose(0, 2, 1), g[at])
+    b[of] -= m[:, None] * np.add.reduceat(g, first, axis=0)
 
 
 def packed(p: dict) -> np.ndarray:
