@@ -124,9 +124,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def hidden(p: dict, near: np.ndarray) -> np.ndarray:
     at = near + SIDE_AT
-    h = p["emb"][at[:, 0]]
+    h = p["emb"].take(at[:, 0], axis=0)
     for s in range(1, len(SIDES)):
-        h += p["emb"][at[:, s]]
+        h += p["emb"].take(at[:, s], axis=0)
     return np.tanh(h, out=h)
 
 
@@ -184,7 +184,7 @@ def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     order = at.astype(np.uint16).argsort(kind="stable")  # there are fewer than 2**16 of them
     at = at[order]
     first, times = runs_of(at)
-    p["emb"][at[first]] -= (rate / 4 / np.sqrt(times)).astype(np.float32)[:, None] * np.add.reduceat(dx[order // len(SIDES)], first, axis=0)
+    p["emb"][at[first]] -= (rate / 4 / np.sqrt(times)).astype(np.float32)[:, None] * np.add.reduceat(dx.take(order // len(SIDES), axis=0), first, axis=0)
 
 
 def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,19 +212,20 @@ def descend(w: np.ndarray, b: np.ndarray, branch: np.ndarray, pick: np.ndarray,
     few = (~long).nonzero()[0]
     rest = np.repeat(~long, size).nonzero()[0]
     if len(rest):
-        own = w[branch[rest]]
-        g[rest] = np.matmul(h[rest][:, None, :], own)[:, 0]
-    g = softmax(g + b[branch])
+        own = w.take(branch[rest], axis=0)
+        g[rest] = np.matmul(h.take(rest, axis=0)[:, None, :], own)[:, 0]
+    g += b.take(branch, axis=0)
+    g = softmax(g)
     g[np.arange(len(g)), pick] -= 1
     for lo, hi, k, x in runs:
         dh[lo:hi] += g[lo:hi] @ w[k].T
         w[k] -= x * (h[lo:hi].T @ g[lo:hi])
     if len(rest):
-        dh[rest] += np.matmul(own, g[rest][:, :, None])[:, :, 0]
+        dh[rest] += np.matmul(own, g.take(rest, axis=0)[:, :, None])[:, :, 0]
         at = first[few][:, None] + np.arange(SHORT)
         scale = np.where(np.arange(SHORT) < size[few][:, None], m[few][:, None], np.float32(0))
         at = np.minimum(at, len(branch) - 1)
-        w[of[few]] -= np.matmul((h[at] * scale[:, :, None]).transpose(0, 2, 1), g[at])
+        w[of[few]] -= np.matmul((h.take(at, axis=0) * scale[:, :, None]).transpose(0, 2, 1), g.take(at, axis=0))
     b[of] -= m[:, None] * np.add.reduceat(g, first, axis=0)
 
 
