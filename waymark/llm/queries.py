@@ -8,6 +8,7 @@ from waymark.llm.jaccard import op4_jaccard_join
 from waymark.llm.langid import op1_language_id
 from waymark.llm.lengths import op6_token_counts
 from waymark.llm.lm import op8_lm_score
+from waymark.llm.oracles import OP4_SQL, OP9_SQL, OP10_SQL
 from waymark.llm.pieces import op3_pieces
 from waymark.llm.quality import op5_quality
 from waymark.llm.secrets import op7_secret_scan
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
