@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["voxel_downsample", "knn_cells_k3", "interp_value", "segment_pairs", "segment_errors_scaled", "graph_neighbors", "lookup_ids", "concatenated_errors", "laser_scan_points", "odometry_messages", "voxel_order", "ring_histogram", "gyro_rows", "factor_events", "rate_ema", "graph_degree", "session_windows"]
+NAMES = ["voxel_downsample", "knn_cells_k3", "interp_value", "segment_pairs", "segment_errors_scaled", "graph_neighbors", "lookup_ids", "concatenated_errors", "laser_scan_points", "odometry_messages", "voxel_order", "ring_histogram", "gyro_rows", "factor_events", "rate_ema", "graph_degree", "session_windows", "min_distance_insert", "keyframes", "fused_states", "pose_matrix", "pose_inverse", "pose_angle", "so3_quaternion", "point_id_hashed", "point_id_grid", "entity_twist_update", "twist_in_body", "covariance_inverse_full"]
 
 
 @pytest.mark.parametrize("name", NAMES)

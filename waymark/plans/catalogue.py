@@ -53,4 +53,4 @@ CH = f"{P}, c AS (SELECT *, trunc((x + 5e-2) * 10e0)::INTEGER AS cx, trunc((y +
 E = "e AS (SELECT *, epoch_us(ts) AS t_us FROM events)"
 T = f"{E}, f AS (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_id, t_us, value, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS dist FROM e)"
 
-from waymark.plans import catalogue_base, catalogue_maps, catalogue_time  # noqa: E402, F401
+from waymark.plans import catalogue_base, catalogue_maps, catalogue_poses, catalogue_time  # noqa: E402, F401

@@ -161,7 +161,12 @@ def clearance_insert(spark, sf):
     return maps.clearance_insert(p.where("label >= 5"), p.where("label < 5"), SIZE, 0.05).select("id")
 
 
-@query("min_distance_insert")
+GREEDY = f"""WITH {C}, l AS (SELECT cx, cy, cz, list([{{'seq': seq, 'x': x, 'y': y, 'z': z}}] ORDER BY seq) AS pts FROM c GROUP BY ALL),
+k AS (SELECT cx, cy, cz, list_reduce(pts, lambda kept, p: CASE WHEN len(kept) >= {maps.HASHED_CAP} OR len(list_filter(kept, lambda k: (k.x - p[1].x) * (k.x - p[1].x) + (k.y - p[1].y) * (k.y - p[1].y) + (k.z - p[1].z) * (k.z - p[1].z) < 4e-2 * 4e-2)) > 0 THEN kept ELSE list_concat(kept, p) END) AS kept FROM l)
+SELECT unnest(list_transform(kept, lambda k: k.seq)) AS seq, cx, cy, cz FROM k"""
+
+
+@query("min_distance_insert", GREEDY)
 def min_distance_insert(spark, sf):
     return maps.min_distance_insert(points(spark, sf), SIZE, 0.04).select("seq", "cx", "cy", "cz")
 

@@ -276,12 +276,29 @@ def extrapolate_state(spark, sf):
     return out.select("event_id", r6("est.x", 4).alias("x"))
 
 
-@query("keyframes")
+KEYS = f"""WITH {T}, l AS (SELECT traj_id, list([{{'frame': frame, 'x': dist / 100, 'yaw': value / 1000}}] ORDER BY frame) AS poses FROM f GROUP BY traj_id),
+k AS (SELECT traj_id, list_reduce(poses, lambda kept, p: CASE WHEN len(list_filter(kept, lambda k: abs(k.x - p[1].x) <= 5 AND abs(k.yaw - p[1].yaw) <= 3e-1)) > 0 THEN kept ELSE list_concat(kept, p) END) AS kept FROM l)
+SELECT traj_id, unnest(list_transform(kept, lambda k: k.frame)) AS frame FROM k"""
+
+
+@query("keyframes", KEYS)
 def keyframes(spark, sf):
     return trajectory.keyframes(pose_frames(spark, sf), "traj_id", "frame", 5.0, 0.3).select("traj_id", "frame")
 
 
-@query("fused_states")
+# a pose sets the place, odometry after it moves on by its own steps; velocity is what the last row that sets one gave
+FUSED = f"""WITH {E}, r AS (SELECT user_id AS key, t_us, event_type AS kind, value AS v FROM e WHERE event_type IN ('click', 'view', 'error') AND user_id IS NOT NULL),
+a AS (SELECT *, count(*) FILTER (kind = 'click') OVER w AS seg, last_value(CASE WHEN kind = 'view' THEN v END IGNORE NULLS) OVER w AS odo FROM r WINDOW w AS (PARTITION BY key ORDER BY t_us)),
+b AS (SELECT *, first_value(v) OVER w AS place, first_value(t_us) OVER w AS since, first_value(odo IGNORE NULLS) OVER w AS base, lag(odo) OVER (PARTITION BY key ORDER BY t_us) AS odo_before FROM a WINDOW w AS (PARTITION BY key, seg ORDER BY t_us)),
+c AS (SELECT *, CASE WHEN seg > 0 THEN place + coalesce(odo - base, 0) END AS x FROM b),
+d AS (SELECT *, lag(x) OVER w AS x_before, (t_us - lag(since) OVER w) / 1e6 AS dt FROM c WINDOW w AS (PARTITION BY key ORDER BY t_us)),
+g AS (SELECT *, CASE WHEN kind = 'error' THEN {{'on': true, 'vx': v}} WHEN kind = 'view' AND seg > 0 AND odo_before IS NOT NULL THEN {{'on': true, 'vx': 0e0}}
+WHEN kind = 'click' THEN CASE WHEN seg > 1 AND dt < {trajectory.MAX_DT} THEN {{'on': true, 'vx': (v - x_before) / dt}} ELSE {{'on': false, 'vx': 0e0}} END END AS given FROM d),
+h AS (SELECT *, last_value(given IGNORE NULLS) OVER (PARTITION BY key ORDER BY t_us) AS now FROM g)
+SELECT key, t_us * 1000 AS t_ns, round(x, 6) + 0e0 AS x, round(now.vx, 6) + 0e0 AS vx, now.on AS has_twist FROM h WHERE seg > 0"""
+
+
+@query("fused_states", FUSED)
 def fused_states(spark, sf):
     """Stateful fusion in batch form: clicks are poses, views odometry, errors twists."""
     from waymark.streaming.stateful import POSE, TWIST, fuse_batch
