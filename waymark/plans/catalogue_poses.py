@@ -35,11 +35,11 @@ def pose_inverse(spark, sf):
     return b.select("id", *(r6(f"b.{c}").alias(f"t{c}") for c in "xyz"), *(r6(F.col("m")[i]).alias(c) for i, c in ((1, "r01"), (2, "r02"), (6, "r12"))))
 
 
-@query("pose_angle", f"WITH {ROT}, g AS (SELECT id, acos(greatest(-1e0, least(1e0, (r00 + r11 + r22 - 1) / 2))) AS angle FROM r) SELECT id, CASE WHEN angle > 1e-1 THEN round(angle, 5) END AS angle FROM g")
+@query("pose_angle", f"WITH {ROT}, g AS (SELECT id, acos(greatest(-1e0, least(1e0, (r00 + r11 + r22 - 1) / 2))) AS angle FROM r) SELECT id, CASE WHEN angle > 1e-1 THEN round(angle, 5) ELSE 0e0 END AS angle FROM g")
 def pose_angle(spark, sf):
-    """Angles by the trace; null where the rotation is nearly none, as the trace is no measure there."""
+    """Angles by the trace; 0 where the rotation is nearly none, as the trace is no measure there."""
     angle = geom.bind(geom.from_ypr(F.col("x"), F.col("y"), F.col("z")).col, geom.rotation_angle)
-    return points(spark, sf).select("id", angle.alias("angle")).select("id", F.when(F.col("angle") > 0.1, r6("angle", 5)).alias("angle"))
+    return points(spark, sf).select("id", angle.alias("angle")).select("id", F.when(F.col("angle") > 0.1, r6("angle", 5)).otherwise(0.0).alias("angle"))
 
 
 @query("so3_quaternion", f"WITH {P}, a AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM p) SELECT id, round(cos(n / 2), 6) + 0e0 AS qw, round(sin(n / 2) / n * x, 6) + 0e0 AS qx, round(sin(n / 2) / n * y, 6) + 0e0 AS qy, round(sin(n / 2) / n * z, 6) + 0e0 AS qz FROM a WHERE n > 1e-3")
