@@ -48,6 +48,27 @@ def test_min_distance_insertion_equals_a_loop(spark):
     assert got == {i for v in kept.values() for i in v}
 
 
+@pytest.mark.parametrize("limit", [0, 3])
+def test_greedy_insertion_over_many_batches(spark, limit):
+    """One hot cell and others, in batches of 7 rows; maps apart by a key that may be null; points without a place."""
+    rng = np.random.default_rng(9)
+    rows = [(["a", "b", None][i % 3], i, *(float(v) for v in rng.uniform(0, 0.1 if i % 4 else 0.3, 3))) for i in range(400)] + [("a", 400, None, 0.0, 0.0), ("a", 401, None, 0.0, 0.0)]
+    kept = {}
+    for k, i, *p in rows:
+        own = kept.setdefault((k, None if p[0] is None else tuple(np.trunc(np.array(p) * 10).astype(int))), [])
+        near = p[0] is not None and any(sum((a - b) ** 2 for a, b in zip(rows[j][2:], p, strict=True)) < 0.02**2 for j in own)
+        if len(own) < (limit or 32) and not near:
+            own.append(i)
+    df = spark.createDataFrame(rows, "map string, seq long, x double, y double, z double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(r.seq for r in maps.min_distance_insert(df, 0.1, 0.02, limit, keys=("map",)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(i for v in kept.values() for i in v)
+    assert maps.min_distance_insert(df.where("seq < 0"), 0.1, 0.02, keys=("map",)).count() == 0
+
+
 def test_exactly_the_distance_is_kept_by_one_map_and_rejected_by_the_other(spark):
     base, batch = cloud(spark, [(0.0, 0, 0)]), spark.createDataFrame([(9, 9, 0.5, 0.0, 0.0), (10, 10, 0.25, 0.0, 0.0)], "id long, seq long, x double, y double, z double")
     assert [r.seq for r in maps.clearance_insert(batch, base, 4.0, 0.25).collect()] == [9]

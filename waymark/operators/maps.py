@@ -7,6 +7,10 @@ stay bounded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,23 +71,57 @@ def prune_box(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int,
     return cells.where(keep)
 
 
+def _greedy(names: list[str], cap: int, least: float):
+    """Streams rows sorted by cell and order. In each round the first row that a cell has left is kept, and those near it go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros((0, 3))  # the cell that a batch ended in, and what it has kept
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(i) for i in range(len(names))]
+            edge = np.zeros(batch.num_rows, bool)
+            edge[0] = True
+            for c in own:
+                code = c.dictionary_encode().indices.fill_null(-1).to_numpy()
+                edge[1:] |= code[1:] != code[:-1]
+            cell = np.cumsum(edge) - 1
+            xyz = np.stack([batch.column(batch.schema.get_field_index(c)).fill_null(np.nan).to_numpy().astype(float) for c in "xyz"], axis=1)
+            count, kept, left = np.zeros(cell[-1] + 1, np.int64), [], np.arange(len(cell))
+            before = held if repr([c[0].as_py() for c in own]) == last else held[:0]
+            count[0] = len(before)
+            for p in before:
+                left = left[(cell[left] > 0) | ~(((xyz[left] - p) ** 2).sum(axis=1) < least)]
+            while True:
+                left = left[count[cell[left]] < cap]
+                if not len(left):
+                    break
+                at = np.flatnonzero(np.diff(cell[left], prepend=-1))
+                first = left[at]
+                kept.append(first)
+                count[cell[first]] += 1
+                of = np.repeat(first, np.diff(np.append(at, len(left))))
+                left = left[~(((xyz[left] - xyz[of]) ** 2).sum(axis=1) < least) & (left != of)]
+            rows = np.sort(np.concatenate(kept)) if kept else left
+            here = xyz[rows[cell[rows] == cell[-1]]]
+            held = np.concatenate((before, here)) if cell[-1] == 0 else here
+            last = repr([c[-1].as_py() for c in own])
+            yield batch.take(pa.array(rows))
+
+    return run
+
+
 def min_distance_insert(points: DataFrame, size: float, distance: float, limit: int = 0, mode: str = "trunc", hard_cap: int = HASHED_CAP, keys: tuple[str, ...] = ()) -> DataFrame:
     """Greedy insertion: a point is rejected if a point kept before it in its cell is nearer than ``distance``.
 
-    Cells are independent; each is folded in insertion order. The fold's state is bounded by the cap, and a cell's points
-    are folded as one sorted array. A point at exactly the distance is kept. A full cell rejects.
+    Cells are independent; each is folded in insertion order, as sorted partitions are streamed: only what a cell has kept is
+    held, which the cap bounds, so that a hot cell takes one task's time but no more memory. A point at exactly the distance is
+    kept, and so is one without a place, which is near to nothing. A full cell rejects.
     """
     cap = min(limit or hard_cap, hard_cap)
-    point = F.struct("seq", "x", "y", "z")
-    ordered = with_cells(points, size, mode).groupBy(*keys, *CELL).agg(F.array_sort(F.collect_list(point)).alias("pts"))
-    empty = F.slice("pts", 1, 0)
-    least = distance * distance
-
-    def near(kept: Column, p: Column) -> Column:
-        return F.exists(kept, lambda k: (k.x - p.x) * (k.x - p.x) + (k.y - p.y) * (k.y - p.y) + (k.z - p.z) * (k.z - p.z) < least)
-
-    kept = F.aggregate("pts", empty, lambda acc, p: F.when((F.size(acc) >= cap) | near(acc, p), acc).otherwise(F.array_append(acc, p)))
-    return ordered.select(*keys, *CELL, F.explode(kept).alias("p")).select(*keys, *CELL, "p.seq", "p.x", "p.y", "p.z")
+    names = [*keys, *CELL]
+    rows = with_cells(points, size, mode).select(*names, "seq", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    return rows.repartition(*names).sortWithinPartitions(*names, "seq").mapInArrow(_greedy(names, cap, distance * distance), rows.schema)
 
 
 def clearance_insert(batch: DataFrame, base: DataFrame, size: float, distance: float, mode: str = "half_shift") -> DataFrame:
