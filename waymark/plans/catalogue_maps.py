@@ -337,7 +337,7 @@ def gyro_rows(spark, sf):
     return out.select("key", "n", r6("dt").alias("dt"), r6(F.abs("q.qw"), 5).alias("qw"))
 
 
-@query("gyro_integration")
+@query("gyro_integration", "WITH w AS (SELECT sqrt(1e-8 + 4e-8 + 30003e-4 * 30003e-4) AS a) SELECT 0::BIGINT AS key, 2000::BIGINT AS n, 2e0 AS dt, round(cos(a), 6) + 0e0 AS qw, round(sin(a) / a * 1e-4, 6) + 0e0 AS qx, round(sin(a) / a * -2e-4, 6) + 0e0 AS qy, round(sin(a) / a * 30003e-4, 6) + 0e0 AS qz FROM w")
 def gyro_integration(spark, sf):
     """2,000 samples of 3 rad/s over 1 ms each, with a bias: a yaw of 6 rad."""
     samples = spark.range(2000).select(F.lit(0).cast("long").alias("key"), F.col("id").alias("seq"), F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy"), F.lit(3.0).alias("wz"), F.lit(1e-3).alias("dt"))
