@@ -54,3 +54,43 @@ def test_whole_queries_equal_brute_force(spark, sf):
     assert sorted(run("graph_neighbors", "entity_id", "neighbour")) == sorted(pairs)
     assert max(a for a, _ in pairs) >= 50
     assert sorted(x for x, in run("lookup_ids", "o_orderkey")) == sorted(orders)
+
+
+@pytest.fixture(scope="module")
+def even(spark, tmp_path_factory):
+    """Events of 40 users whose values are tenths that often sum to hundreds, or differ by 300: ends at exactly a length, poses at exactly a limit."""
+    import random
+    from datetime import datetime, timedelta
+
+    r, d, rows = random.Random(5), tmp_path_factory.mktemp("even"), []
+    for user in range(40):
+        for i in range(60):
+            rows.append((user * 60 + i, datetime(2024, 1, 1) + timedelta(seconds=i), user, "view", r.choice((0.1, 9.9, 20.1, 29.9, 33.3, 66.7, 40.2, 59.8) if user % 2 else (0.1, 49.9, 100.2, 300.1, 349.9, 99.8, 400.2)), None))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{d}/events.parquet")
+    paths = {}
+    for _, _, user, _, value, _ in rows:
+        p = paths.setdefault(user, [])
+        p.append((round(value * 100), round(value * 100) + (p[-1][1] if p else 0)))
+    return str(d), paths
+
+
+def exact_segments(paths):
+    """In whole cents: ``(traj, first, length, last)``, and how many ends lie at exactly a length."""
+    out, ties = {}, 0
+    for k, p in paths.items():
+        for i in range(0, len(p), 10):
+            for n in range(100, 801, 100):
+                ties += sum(d == p[i][1] + 100 * n for _, d in p[i:])
+                if (j := next((j for j in range(i, len(p)) if p[j][1] > p[i][1] + 100 * n), None)) is not None:
+                    out[k, i, float(n)] = j
+    assert ties > 20
+    return out
+
+
+def rows_of(spark, name, d, *cols):
+    return [tuple(r) for r in entry.queries()[name](spark, d).select(*cols).collect()]
+
+
+def test_segment_pairs_at_exact_lengths(spark, even):
+    d, paths = even
+    assert {x[:3]: x[3] for x in rows_of(spark, "segment_pairs", d, "traj_id", "first_frame", "len", "last_frame")} == exact_segments(paths)

@@ -18,6 +18,8 @@ from waymark.functions.geom import difference, norm, trace_angle
 LENGTHS = (100, 200, 300, 400, 500, 600, 700, 800)
 STEP, PERIOD, LEAST = 10, 0.1, 3
 SPEEDS, HALF_WIDTH = tuple(range(2, 25, 2)), 2.0
+#: Share of a path length by which its sum may be off: equal lengths differ by that when their steps are added in another order.
+ROUNDING = 1e-12
 
 
 def path_length(frames: DataFrame, order: str = "frame", key: str = "traj_id") -> DataFrame:
@@ -32,14 +34,16 @@ def segments(frames: DataFrame, lengths: Sequence[float] = LENGTHS, step: int =
 
     ``frames(key, frame, dist)`` with dist ascending. One equi join on (trajectory, bucket): a bucket is as wide as the
     shortest length, an end is found in the bucket of ``dist + len`` or, where that bucket has none behind it, as the first
-    frame of the next bucket in use.
+    frame of the next bucket in use. Lengths that differ by no more than the rounding of their sums are equal, so that an
+    end at exactly len is none, however the sums were rounded.
     """
     width = float(min(lengths))
     f = frames.select(key, "frame", "dist").withColumn("bucket", F.floor(F.col("dist") / width))
     heads = f.groupBy(key, "bucket").agg(F.min("frame").alias("head"))
     following = heads.select(key, "bucket", F.lead("head").over(Window.partitionBy(key).orderBy("bucket")).alias("next_head"))
     starts = f.where(F.col("frame") % step == 0).withColumn("len", F.explode(F.array(*(F.lit(float(x)) for x in lengths))))
-    starts = starts.select(key, F.col("frame").alias("first_frame"), "len", (F.col("dist") + F.col("len")).alias("goal"))
+    goal = F.col("dist") + F.col("len")
+    starts = starts.select(key, F.col("frame").alias("first_frame"), "len", (goal + F.abs(goal) * ROUNDING).alias("goal"))
     starts = starts.withColumn("goal_bucket", F.floor(F.col("goal") / width))
     inside = starts.join(f.select(key, F.col("bucket").alias("goal_bucket"), "frame", "dist"), [key, "goal_bucket"]).where("dist > goal and frame >= first_frame")
     inside = inside.groupBy(key, "first_frame", "len").agg(F.min("frame").alias("last_frame"))
