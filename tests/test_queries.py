@@ -94,3 +94,17 @@ def rows_of(spark, name, d, *cols):
 def test_segment_pairs_at_exact_lengths(spark, even):
     d, paths = even
     assert {x[:3]: x[3] for x in rows_of(spark, "segment_pairs", d, "traj_id", "first_frame", "len", "last_frame")} == exact_segments(paths)
+
+
+def test_keyframes_at_exact_limits(spark, even):
+    d, paths = even
+    want, ties = set(), 0
+    for k, p in paths.items():
+        kept = []
+        for i, (v, s) in enumerate(p):
+            ties += any(abs(s - a) == 50000 or abs(v - b) == 30000 for b, a in kept)
+            if not any(abs(s - a) <= 50000 and abs(v - b) <= 30000 for b, a in kept):
+                kept.append((v, s))
+                want.add((k, i))
+    assert ties > 3
+    assert sorted(rows_of(spark, "keyframes", d, "traj_id", "frame")) == sorted(want)

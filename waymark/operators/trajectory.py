@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from waymark.functions.geom import bind, compose, conjugate, difference, from_yp
 #: Defaults of the fusion (fixed values): use of the velocity model in seconds, random walks.
 MAX_DT, SIGMA_LINEAR, SIGMA_ANGULAR = 2.0, 1.0, 1.0
 FOLD = 4096  # samples that are folded in one array
+ROUNDING = 1e-12  # of coordinates (as a share) and angles: what differs by less is equal
 
 
 def rebase_first(frames: DataFrame, key: str = "traj_id", order: str = "t_ns") -> DataFrame:
@@ -143,14 +145,22 @@ class Kept:
     def _add(self, p: np.ndarray) -> None:
         self.cells.setdefault(self._cell(p), []).append(p)
 
+    def _near(self, p: np.ndarray, reach: float) -> list[np.ndarray]:
+        """Those of the cells that the box of ``reach`` around a pose meets."""
+        if self.distance <= 0:
+            return self.cells.get(self._cell(p), [])
+        low, high = self._cell(p[:3] - reach), self._cell(p[:3] + reach)
+        return [k for c in product(*(range(a, b + 1) for a, b in zip(low, high, strict=True))) for k in self.cells.get(c, ())]
+
     def offer(self, p: np.ndarray) -> bool:
-        """Keeps a pose if none so far is within both limits."""
-        x, y, z = self._cell(p)
-        reach = range(-1, 2) if self.distance > 0 else (0,)
-        near = [k for a in reach for b in reach for c in reach for k in self.cells.get((x + a, y + b, z + c), ())]
+        """Keeps a pose if none so far is within both limits; a pose at a limit is within, however its numbers were rounded."""
+        reach = self.distance + ROUNDING * float(np.abs(p[:3]).max()) if self.distance > 0 else 0.0
+        near = self._near(p, reach * (1 + ROUNDING))
         if near:
             kept = np.array(near)
-            if ((np.linalg.norm(kept[:, :3] - p[:3], axis=1) <= self.distance) & (2 * np.arccos(np.clip(np.abs(kept[:, 3:] @ p[3:]), 0, 1)) <= self.angle)).any():
+            side = np.where(kept[:, 3:] @ p[3:] < 0, -1.0, 1.0)[:, None]
+            angle = 4 * np.arcsin(np.minimum(1, np.linalg.norm(kept[:, 3:] - side * p[3:], axis=1) / 2))  # by the chord, exact for small ones too
+            if ((np.linalg.norm(kept[:, :3] - p[:3], axis=1) <= reach) & (angle <= self.angle + ROUNDING)).any():
                 return False
         self._add(p)
         return True
@@ -160,7 +170,7 @@ def keyframes(frames: DataFrame, key: str, order: str, distance: float, angle: f
     """Greedy gating: a pose is a keyframe if no keyframe so far is within both the distance and the angle.
 
     Sequential by nature: each trajectory is streamed in order; only its keyframes are held, by cells as wide as the distance,
-    so that a pose meets those of the 27 cells around it.
+    so that a pose meets those of the cells within its reach.
     """
     flat = frames.select(key, order, *(F.col(f"pose.{c}").alias(c) for c in ("x", "y", "z", "qw", "qx", "qy", "qz")))
 
