@@ -108,3 +108,8 @@ def test_keyframes_at_exact_limits(spark, even):
                 want.add((k, i))
     assert ties > 3
     assert sorted(rows_of(spark, "keyframes", d, "traj_id", "frame")) == sorted(want)
+
+
+def test_segment_errors_at_exact_lengths(spark, even):
+    d, paths = even
+    assert {x[:3]: x[3:] for x in rows_of(spark, "segment_errors", d, "traj_id", "first_frame", "len", "last_frame", "t_err")} == {k: (j, 0.0) for k, j in exact_segments(paths).items()}
