@@ -113,3 +113,8 @@ def test_keyframes_at_exact_limits(spark, even):
 def test_segment_errors_at_exact_lengths(spark, even):
     d, paths = even
     assert {x[:3]: x[3:] for x in rows_of(spark, "segment_errors", d, "traj_id", "first_frame", "len", "last_frame", "t_err")} == {k: (j, 0.0) for k, j in exact_segments(paths).items()}
+
+
+def test_segment_errors_scaled_at_exact_lengths(spark, even):
+    d, paths = even
+    assert {x[:3]: x[3] for x in rows_of(spark, "segment_errors_scaled", d, "traj_id", "first_frame", "len", "last_frame")} == exact_segments(paths)
