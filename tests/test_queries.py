@@ -118,3 +118,9 @@ def test_segment_errors_at_exact_lengths(spark, even):
 def test_segment_errors_scaled_at_exact_lengths(spark, even):
     d, paths = even
     assert {x[:3]: x[3] for x in rows_of(spark, "segment_errors_scaled", d, "traj_id", "first_frame", "len", "last_frame")} == exact_segments(paths)
+
+
+def test_segment_speed_at_exact_lengths(spark, even):
+    d, paths = even
+    want = {(k, i, n): pytest.approx(n / (0.1 * (j - i + 1)), abs=1e-5) for (k, i, n), j in exact_segments(paths).items()}
+    assert {x[:3]: x[3] for x in rows_of(spark, "segment_speed", d, "traj_id", "first_frame", "len", "speed")} == want
