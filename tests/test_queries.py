@@ -124,3 +124,14 @@ def test_segment_speed_at_exact_lengths(spark, even):
     d, paths = even
     want = {(k, i, n): pytest.approx(n / (0.1 * (j - i + 1)), abs=1e-5) for (k, i, n), j in exact_segments(paths).items()}
     assert {x[:3]: x[3] for x in rows_of(spark, "segment_speed", d, "traj_id", "first_frame", "len", "speed")} == want
+
+
+def exact_errors(paths):
+    mean = sum(v for p in paths.values() for v, _ in p) / sum(map(len, paths.values())) / 100
+    return [(n, abs(paths[k][j][0] / 100 - mean) / n, n / (10 * (j - i + 1))) for (k, i, n), j in exact_segments(paths).items()]
+
+
+def test_error_overall_at_exact_lengths(spark, even):
+    d, paths = even
+    t = [t for _, t, _ in exact_errors(paths)]
+    assert rows_of(spark, "error_overall", d, "n", "t_percent") == [(len(t), pytest.approx(100 * sum(t) / len(t), abs=2e-6))]
