@@ -135,3 +135,11 @@ def test_error_overall_at_exact_lengths(spark, even):
     d, paths = even
     t = [t for _, t, _ in exact_errors(paths)]
     assert rows_of(spark, "error_overall", d, "n", "t_percent") == [(len(t), pytest.approx(100 * sum(t) / len(t), abs=2e-6))]
+
+
+def test_error_by_length_at_exact_lengths(spark, even):
+    d, paths = even
+    of = {}
+    for n, t, _ in exact_errors(paths):
+        of.setdefault(n, []).append(t)
+    assert {x[0]: x[1:] for x in rows_of(spark, "error_by_length", d, "len", "n", "t_err")} == {n: (len(t), pytest.approx(sum(t) / len(t), abs=2e-6)) for n, t in of.items()}
