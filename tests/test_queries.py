@@ -143,3 +143,9 @@ def test_error_by_length_at_exact_lengths(spark, even):
     for n, t, _ in exact_errors(paths):
         of.setdefault(n, []).append(t)
     assert {x[0]: x[1:] for x in rows_of(spark, "error_by_length", d, "len", "n", "t_err")} == {n: (len(t), pytest.approx(sum(t) / len(t), abs=2e-6)) for n, t in of.items()}
+
+
+def test_error_by_speed_at_exact_lengths(spark, even):
+    d, paths = even
+    of = {b: [t for _, t, v in exact_errors(paths) if abs(v - b) < 2] for b in range(2, 25, 2)}
+    assert {x[0]: x[1:] for x in rows_of(spark, "error_by_speed", d, "bin", "n", "t_err")} == {b: (len(t), pytest.approx(sum(t) / len(t), abs=2e-6)) for b, t in of.items() if len(t) >= 3}
