@@ -149,3 +149,10 @@ def test_error_by_speed_at_exact_lengths(spark, even):
     d, paths = even
     of = {b: [t for _, t, v in exact_errors(paths) if abs(v - b) < 2] for b in range(2, 25, 2)}
     assert {x[0]: x[1:] for x in rows_of(spark, "error_by_speed", d, "bin", "n", "t_err")} == {b: (len(t), pytest.approx(sum(t) / len(t), abs=2e-6)) for b, t in of.items() if len(t) >= 3}
+
+
+def test_concatenated_errors_at_exact_lengths(spark, even):
+    d, paths = even
+    t = [t for _, t, _ in exact_errors(paths)]
+    mean = pytest.approx(100 * sum(t) / len(t), abs=2e-6)
+    assert {x[0]: x[1:] for x in rows_of(spark, "concatenated_errors", d, "sequence", "n", "t_percent")} == {0: (len(t), mean), 1: (len(t), mean), -1: (2 * len(t), mean)}
