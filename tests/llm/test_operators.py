@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from waymark.llm import contain, embeddings, jaccard, langid, lengths, lm, pieces, quality, secrets, urls
@@ -215,6 +217,30 @@ def test_lm_prefers_seen_text(spark):
     assert (got[101].n_tokens, got[101].pseudo_log_likelihood, got[101].mean_log_probability) == (0, 0.0, None)
 
 
+def test_lm_counts_words_by_bucket(spark, monkeypatch):
+    """The vocabulary equals a count of all words, and what tasks hand on are rows of buckets, not of words, which filled executors."""
+    rng = np.random.default_rng(3)
+    rows = [" ".join(f"W{int(x)}é" for x in rng.zipf(1.2, 300) % 40_000) for _ in range(200)] + [None, "", " \t", "w1é\x1cw2é"]
+    n = Counter(w for t in rows for w in (t or "").encode().lower().split())
+    assert len(n) > 2 * lm.OWN
+    words = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))][: lm.OWN]
+    kinds = np.bincount([xxhash.xxh64_intdigest(w, lm.HASH_SEED) % lm.SHARED for w in set(n) - set(words)], minlength=lm.SHARED)
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
+    lm.ship_package(spark)
+    monkeypatch.setattr(lm, "saved", None)  # nothing is written
+    got = lm.vocabulary(docs)
+    assert got[0] == words and np.array_equal(got[1], np.maximum(kinds, 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])
+    monkeypatch.setattr(lm, "FLUSH", 5_000)
+    out = list(lm._word_counts(2 * lm.SHARED)(iter([batch])))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= 2 * lm.SHARED
+    (totals,) = lm._bucket_totals(iter([pa.Table.from_batches(out).sort_by("bucket").combine_chunks().to_batches()[0]]))
+    (merged,) = lm._merged_totals(iter([totals]))
+    assert [r["word"] for r in merged.to_pylist() if r["slot"] is None] == words
+    assert sum(r["n"] for r in merged.to_pylist() if r["slot"] is not None) == len(n)
+    assert lm.vocabulary(docs.limit(0))[0] == []
+
+
 def test_lm_trains_on_every_position(monkeypatch):
     texts = [" ".join(f"d{i}p{j}" for j in range(n)) for i, n in enumerate([1, 2, 3, 5, 7, 8, 9, 40, 0, 700] * 30)]
     words = sorted({w.encode() for t in texts for w in t.split()})

@@ -5,8 +5,8 @@ summed, passed through tanh, and a softmax in three steps down a tree of tokens
 conditional probability. A document's score is the sum of its tokens' conditional log-probabilities; the mean is
 comparable between lengths.
 
-What it learns from the corpus grows with it: words are counted over all documents by a grouped aggregation, of
-which the 3,072 most frequent get tokens of their own. The others share 1,024 tokens by hash; the probability of such a
+What it learns from the corpus grows with it: words are counted over all documents, in every task and then, packed by
+buckets of their hashes, a bucket at a time; the 3,072 most frequent get tokens of their own. The others share 1,024 tokens by hash; the probability of such a
 token is shared evenly by the distinct words that the whole corpus has in it. Texts are turned into tokens once
 and saved. The network is trained in numpy where they lie, by parameter averaging: in each of two rounds every task takes
 its share of the positions of each of its documents (every second one, the others in the other round, so that every
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +49,69 @@ SHAPES = {"emb": (len(SIDES) * (WORDS + 1), DIM), "w0": (DIM, 16), "b0": (16,),
 SIDE_AT = np.arange(len(SIDES)) * (WORDS + 1)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+def _word_counts(buckets: int):
+    """Words and their numbers, packed into a row for each bucket of their hashes, so that the JVM sorts few rows, not words."""
 
-    count: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(c: Counter) -> pa.RecordBatch:
+            at = np.fromiter(map(xxhash.xxh64_intdigest, c, repeat(HASH_SEED)), np.uint64, len(c)) % np.uint64(buckets)
+            order = at.argsort(kind="stable")
+            words, n, at = np.fromiter(c, object, len(c))[order], np.fromiter(c.values(), np.int64, len(c))[order], at[order]
+            first, size = runs_of(at) if len(c) else (order, order)
+            runs = list(zip(first.tolist(), (first + size).tolist(), strict=True))
+            packs = [b" ".join(words[x:y]) for x, y in runs]  # no word has a space
+            return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), pa.array(packs, pa.binary()), pa.array([n[x:y].tobytes() for x, y in runs], pa.binary())], names=["bucket", "words", "n"])
+
+        count: Counter = Counter()
+        for batch in batches:
+            for t in texts(batch):
+                count.update((t or b"").lower().split())
+                if len(count) > FLUSH:
+                    yield out(count)
+                    count = Counter()
+        yield out(count)
+
+    return run
+
+
+def _vocabulary_rows(top: list[tuple[int, bytes]], kinds: np.ndarray) -> pa.RecordBatch:
+    """Rows ``(slot, word, n)``: words without a slot, and how many distinct words each slot has, without a word."""
+    slots = np.flatnonzero(kinds)
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(top) + slots.tolist(), pa.int32()), pa.array([w for _, w in top] + [None] * len(slots), pa.binary()), pa.array([-n for n, _ in top] + kinds[slots].tolist(), pa.int64())], names=["slot", "word", "n"])
+
+
+def _bucket_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket: the most frequent words and the distinct words of each slot. The words of one bucket are held."""
+    top, kinds, count, at = [], np.zeros(SHARED, np.int64), {}, -1
+
+    def ended() -> None:
+        nonlocal top
+        if count:
+            least = -top[-1][0] if len(top) == OWN else 1
+            top = sorted(top + [(-n, w) for w, n in count.items() if n >= least])[:OWN]
+            kinds[at % SHARED] += len(count)
+            count.clear()
+
+    for batch in batches:
+        for bucket, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != at:
+                ended()
+                at = bucket
+            for w, k in zip(words.split(), np.frombuffer(n, np.int64).tolist(), strict=True):
+                count[w] = count.get(w, 0) + k
+    ended()
+    yield _vocabulary_rows(top, kinds)
+
+
+def _merged_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top, kinds = [], np.zeros(SHARED, np.int64)
     for batch in batches:
-        for t in texts(batch):
-            count.update((t or b"").lower().split())
-            if len(count) > FLUSH:
-                yield out(count)
-                count = Counter()
-    yield out(count)
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        top = sorted(top + [(-n, w) for slot, w, n in rows if slot is None])[:OWN]
+        for slot, _, n in rows:
+            if slot is not None:
+                kinds[slot] += n
+    yield _vocabulary_rows(top, kinds)
 
 
 class Tokens(dict):
@@ -84,14 +135,19 @@ class Tokens(dict):
 
 def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
     """The most frequent words, and how many other distinct words share each further token."""
-    counts = saved(docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "op8-words")
-    words = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
-    kinds = np.zeros(SHARED, np.int64)
-    for r in counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(SHARED)).alias("at")).count().collect():  # a row for each shared token
-        kinds[r["at"]] = r["count"]
+    docs = docs.select("text")
+    buckets = SHARED * (1 + docs.rdd.getNumPartitions() // 2000)  # several to a slot where there is much input
+    packed_counts = docs.mapInArrow(_word_counts(buckets), "bucket long, words binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    totals = packed_counts.mapInArrow(_bucket_totals, "slot int, word binary, n long").repartition(1).mapInArrow(_merged_totals, "slot int, word binary, n long")
+    top, kinds = [], np.zeros(SHARED, np.int64)
+    for r in totals.collect():  # OWN words and a row for each shared token
+        if r.slot is None:
+            top.append((-r.n, bytes(r.word)))
+        else:
+            kinds[r.slot] = r.n
+    words = [w for _, w in sorted(top)]
     for w in words:
         kinds[xxhash.xxh64_intdigest(w, HASH_SEED) % SHARED] -= 1
-    drop_saved(counts)
     return words, np.maximum(kinds, 1)
 
 
