@@ -24,7 +24,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise, repeat
 
 import numpy as np
@@ -103,7 +103,8 @@ def _bucket_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _vocabulary_rows(top, kinds)
 
 
-def _merged_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def totals_of(batches: Iterable[pa.RecordBatch]) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """The most frequent words as ``(-n, word)``, in order, and each slot's distinct words, of rows that several tasks made."""
     top, kinds = [], np.zeros(SHARED, np.int64)
     for batch in batches:
         rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -111,7 +112,11 @@ def _merged_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for slot, _, n in rows:
             if slot is not None:
                 kinds[slot] += n
-    yield _vocabulary_rows(top, kinds)
+    return top, kinds
+
+
+def _merged_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _vocabulary_rows(*totals_of(batches))
 
 
 class Tokens(dict):
@@ -138,14 +143,10 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
     docs = docs.select("text")
     buckets = SHARED * (1 + docs.rdd.getNumPartitions() // 2000)  # several to a slot where there is much input
     packed_counts = docs.mapInArrow(_word_counts(buckets), "bucket long, words binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
-    totals = packed_counts.mapInArrow(_bucket_totals, "slot int, word binary, n long").repartition(1).mapInArrow(_merged_totals, "slot int, word binary, n long")
-    top, kinds = [], np.zeros(SHARED, np.int64)
-    for r in totals.collect():  # OWN words and a row for each shared token
-        if r.slot is None:
-            top.append((-r.n, bytes(r.word)))
-        else:
-            kinds[r.slot] = r.n
-    words = [w for _, w in sorted(top)]
+    schema = "slot int, word binary, n long"
+    totals = packed_counts.mapInArrow(_bucket_totals, schema).repartition(SLICES).mapInArrow(_merged_totals, schema).toArrow()  # OWN + SHARED rows a slice
+    top, kinds = totals_of(totals.to_batches())
+    words = [w for _, w in top]
     for w in words:
         kinds[xxhash.xxh64_intdigest(w, HASH_SEED) % SHARED] -= 1
     return words, np.maximum(kinds, 1)
