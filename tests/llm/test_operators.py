@@ -260,6 +260,46 @@ def test_lm_trains_on_every_position(monkeypatch):
     assert max(map(len, seen)) <= 512
 
 
+def test_lm_steps_by_branch_give_the_plain_gradient(monkeypatch):
+    """A step is the one written down plainly, and short runs cost products of matrices by branch, not by row."""
+    rng = np.random.default_rng(6)
+    centre = np.concatenate([np.repeat(np.arange(0, 60 * 16, 16), 8), rng.integers(3000, 3016, 32)]).astype(np.int16)
+    near = rng.zipf(1.3, (512, 4)) % (lm.WORDS + 1)
+    p = lm.unpacked(lm.packed(lm.start()) + rng.normal(0, 0.1, len(lm.packed(lm.start()))).astype(np.float32))
+    want = {k: p[k].astype(np.float64) for k in lm.SHAPES}
+    at = near + np.arange(4) * (lm.WORDS + 1)
+    h = np.tanh(want["emb"][at].sum(axis=1))
+    dh, new = np.zeros_like(h), {k: v.copy() for k, v in want.items()}
+    for level, shift in ((0, 8), (1, 4), (2, 0)):
+        w, b = want[f"w{level}"].reshape(-1, 16, 16), want[f"b{level}"].reshape(-1, 16)
+        branch, pick = (centre.astype(int) >> shift + 4) * (level > 0), centre.astype(int) >> shift & 15
+        for k in set(branch.tolist()):
+            mine = branch == k
+            g = np.exp(h[mine] @ w[k] + b[k])
+            g = g / g.sum(axis=1, keepdims=True) - np.eye(16)[pick[mine]]
+            dh[mine] += g @ w[k].T
+            m = 0.15 / max(16, mine.sum())
+            new[f"w{level}"].reshape(-1, 16, 16)[k] -= m * h[mine].T @ g
+            new[f"b{level}"].reshape(-1, 16)[k] -= m * g.sum(axis=0)
+    dx = dh * (1 - h * h)
+    for k in set(at.ravel().tolist()):
+        row, _ = np.nonzero(at == k)
+        new["emb"][k] -= 0.15 / 4 / np.sqrt(len(row)) * dx[row].sum(axis=0)
+    products, matmul = [], np.matmul
+
+    def counted(*args, **kwargs):
+        out = matmul(*args, **kwargs)
+        products.append(out[..., 0, 0].size)
+        return out
+
+    monkeypatch.setattr(np, "matmul", counted)
+    order = rng.permutation(512)
+    lm.step(p, centre[order], near[order], 0.15)
+    assert max(np.abs(p[k] - new[k]).max() for k in lm.SHAPES) < 1e-6
+    assert np.array_equal(lm.packed(lm.unpacked(lm.packed(p))), lm.packed(p))
+    assert sum(products) <= 3 * (60 + 2 + 16)
+
+
 def test_long_and_quoted_secrets_are_redacted_whole():
     body = ("Zx81kQp0Lm2n+/" * 700)[:9001]
     key = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(("MIIEvQ1b/x9Zk+" * 5)[:64] for _ in range(90)) + "\n-----END PRIVATE KEY-----"

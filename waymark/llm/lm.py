@@ -42,7 +42,7 @@ DIM, SIDES = 16, (-2, -1, 1, 2)
 ROUNDS, STEP, RATE = 2, 512, 0.15
 SLICES = 16
 FLUSH = 200_000  # distinct words that a task counts before it hands them on
-SHORT = 8  # rows of a branch in a mini-batch up to which branches are stepped together
+SHORT = 8  # rows of a branch of the last level in a mini-batch up to which branches are stepped together
 PIECE = 50_000  # tokens that are scored at once
 HASH_SEED = 42  # as in the SQL function xxhash64
 SHAPES = {"emb": (len(SIDES) * (WORDS + 1), DIM), "w0": (DIM, 16), "b0": (16,), "w1": (16, DIM, 16), "b1": (16, 16), "w2": (256, DIM, 16), "b2": (256, 16)}
@@ -225,23 +225,40 @@ def step(p: dict, centre: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One gradient step on a mini-batch, in place."""
     n = len(centre)
     order = centre.argsort(kind="stable")
-    t, near = centre[order].astype(np.int64), near[order]
-    rows = np.arange(n)
-    h = hidden(p, near)
-    g = softmax(h @ p["w0"] + p["b0"])
-    g[rows, t >> 8] -= 1
+    t, at = centre.take(order).astype(np.int64), (near.take(order, axis=0) + SIDE_AT).T.ravel()
+    x = p["emb"].take(at, axis=0).reshape(len(SIDES), n, DIM)
+    for s in range(1, len(SIDES)):
+        x[0] += x[s]
+    h = np.ones((n, DIM + 1), np.float32)  # the last one is for the biases
+    np.tanh(x[0], out=h[:, :DIM])
+    g = less_one(softmax(h @ p["t0"]), t >> 8)
     dh = g @ p["w0"].T
-    p["w0"] -= rate / n * (h.T @ g)
-    p["b0"] -= rate / n * g.sum(axis=0)
-    descend(p["w1"], p["b1"], t >> 8, t >> 4 & 15, h, dh, rate)
-    descend(p["w2"], p["b2"], t >> 4, t & 15, h, dh, rate)
-    dx = dh * (1 - h * h)
+    p["t0"] -= rate / n * (h.T @ g)
+    descend(p["t1"], t >> 8, t >> 4 & 15, h, dh, rate, 0)
+    descend(p["t2"], t >> 4, t & 15, h, dh, rate, SHORT)
+    dx = dh * (1 - h[:, :DIM] * h[:, :DIM])
     # the steps of each neighbour by the root of their number, so that frequent words don't overshoot
-    at = (near + SIDE_AT).ravel()
     order = at.astype(np.uint16).argsort(kind="stable")  # there are fewer than 2**16 of them
-    at = at[order]
+    at = at.take(order)
     first, times = runs_of(at)
-    p["emb"][at[first]] -= (rate / 4 / np.sqrt(times)).astype(np.float32)[:, None] * np.add.reduceat(dx.take(order // len(SIDES), axis=0), first, axis=0)
+    dx = dx.take(order % n, axis=0)
+    total = dx.take(first, axis=0)
+    often = (times > 1).nonzero()[0]
+    if len(often):
+        some = times.take(often)
+        again = dx.take(np.repeat(times > 1, times).nonzero()[0], axis=0).view(np.complex64)  # two columns in each addition
+        total[often] = np.add.reduceat(again, some.cumsum() - some, axis=0).view(np.float32)
+    total *= (rate / 4 / np.sqrt(times)).astype(np.float32)[:, None]
+    at = at.take(first)
+    p["emb"][at] = p["emb"].take(at, axis=0) - total
+
+
+def less_one(g: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Takes one from a column of each row, in place."""
+    at = np.arange(0, g.size, g.shape[1])
+    at += pick
+    g.ravel()[at] -= 1
+    return g
 
 
 def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,34 +273,41 @@ def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, size
 
 
-def descend(w: np.ndarray, b: np.ndarray, branch: np.ndarray, pick: np.ndarray, h: np.ndarray, dh: np.ndarray, rate: float) -> None:
+def descend(w: np.ndarray, branch: np.ndarray, pick: np.ndarray, h: np.ndarray, dh: np.ndarray, rate: float, short: int) -> None:
     """One level of the tree: adds to the gradient of the hidden values, and steps each branch against the mean of its rows (of
-    sixteen at least). Rows of a branch lie together; long runs are taken one by one, short ones all at once."""
+    sixteen at least). Rows of a branch lie together; runs of more than ``short`` rows are taken one by one, the others all at
+    once, a branch's rows in a block filled up to ``short``. The last row of a branch's weights are its biases."""
     first, size = runs_of(branch)
-    of, m = branch[first], (rate / np.maximum(16, size)).astype(np.float32)
-    long = size > SHORT
-    runs = list(zip(first[long].tolist(), (first + size)[long].tolist(), of[long].tolist(), m[long], strict=True))
-    g = np.empty((len(branch), w.shape[2]), np.float32)
-    for lo, hi, k, _ in runs:
-        np.matmul(h[lo:hi], w[k], out=g[lo:hi])
+    of, m = branch.take(first), (rate / np.maximum(16, size)).astype(np.float32)[:, None, None]
+    long = size > short
+    some = of[long]
+    runs = [(slice(x, y), k) for x, y, k in zip(first[long].tolist(), (first + size)[long].tolist(), some.tolist(), strict=True)]
+    g, back, by = np.empty((len(branch), w.shape[2]), np.float32), np.empty_like(dh), np.empty((len(some), *w.shape[1:]), np.float32)
+    for r, k in runs:
+        np.matmul(h[r], w[k], out=g[r])
     few = (~long).nonzero()[0]
-    rest = np.repeat(~long, size).nonzero()[0]
-    if len(rest):
-        own = w.take(branch[rest], axis=0)
-        g[rest] = np.matmul(h.take(rest, axis=0)[:, None, :], own)[:, 0]
-    g += b.take(branch, axis=0)
-    g = softmax(g)
-    g[np.arange(len(g)), pick] -= 1
-    for lo, hi, k, x in runs:
-        dh[lo:hi] += g[lo:hi] @ w[k].T
-        w[k] -= x * (h[lo:hi].T @ g[lo:hi])
-    if len(rest):
-        dh[rest] += np.matmul(own, g.take(rest, axis=0)[:, :, None])[:, :, 0]
-        at = first[few][:, None] + np.arange(SHORT)
-        scale = np.where(np.arange(SHORT) < size[few][:, None], m[few][:, None], np.float32(0))
-        at = np.minimum(at, len(branch) - 1)
-        w[of[few]] -= np.matmul((h.take(at, axis=0) * scale[:, :, None]).transpose(0, 2, 1), g.take(at, axis=0))
-    b[of] -= m[:, None] * np.add.reduceat(g, first, axis=0)
+    if len(few):
+        at = first[few][:, None] + np.arange(short)
+        place = (np.arange(short) < size[few][:, None]).ravel().nonzero()[0]
+        rest = at.ravel().take(place)
+        blocks, own = h.take(np.minimum(at, len(branch) - 1, out=at), axis=0), w.take(of[few], axis=0)
+        g[rest] = np.matmul(blocks, own).reshape(-1, w.shape[2]).take(place, axis=0)
+    g = less_one(softmax(g), pick)
+    for i, (r, k) in enumerate(runs):
+        np.matmul(g[r], w[k, :-1].T, out=back[r])
+        np.matmul(h[r].T, g[r], out=by[i])
+    by *= m[long]
+    w[some] -= by
+    if len(few):
+        full = np.zeros((len(few) * short, w.shape[2]), np.float32)
+        full[place] = g.take(rest, axis=0)
+        full = full.reshape(len(few), short, -1)
+        back[rest] = np.matmul(own[:, :-1], np.ascontiguousarray(full.transpose(0, 2, 1))).transpose(0, 2, 1).reshape(-1, DIM).take(place, axis=0)
+        by = np.matmul(blocks.transpose(0, 2, 1), full)
+        by *= m[few]
+        own -= by
+        w[of[few]] = own
+    dh += back
 
 
 def packed(p: dict) -> np.ndarray:
@@ -296,6 +320,9 @@ def unpacked(x: np.ndarray) -> dict[str, np.ndarray]:
         n = int(np.prod(s))
         out[k] = x[at : at + n].reshape(s).astype(np.float32).copy()
         at += n
+    for k in "012":  # the biases of a level lie behind its weights, as a last row of them
+        both = out["t" + k] = np.concatenate([out["w" + k], out["b" + k][..., None, :]], axis=-2)
+        out["w" + k], out["b" + k] = both[..., :-1, :], both[..., -1, :]
     return out
 
 
